@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,3 +43,23 @@ def blocks(items: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, chosen by the hash of their key, so the choice doesn't depend on partitioning."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        # only where the cluster names none, as in tests
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
+    return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and compresses better than a checkpoint."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        base = tempfile.mkdtemp(prefix="corvane-")  # only where the cluster names no folder, as in tests
+    path = f"{base.rstrip('/')}/corvane-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,8 +3,9 @@
 All statistics come from one pass over the text in Python, so the only shuffle is the one that counts an id once,
 over the numbers. The verdict combines rules:
 
-- junk: the larger part of the printed characters stands in tokens that can't be read as words, numbers or marks;
-- table: most lines are rows of columns or contents lines;
+- table: most lines are rows of columns or contents lines, and can be read;
+- junk: the larger part of the printed characters stands in tokens that can't be read as words, numbers or marks, or
+  running text has so few common words (fewer still are needed where tokens are unreadable) that it is no language;
 - list: at least three lines, most of them short entries, and most of the characters stand in entries;
 - boilerplate: most lines or paragraphs repeat others of the text, or one n-gram covers most of its characters;
 - prose: everything else.
@@ -15,7 +16,6 @@ Null and blank texts get null statistics and a null verdict. Deliveries of one i
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import map_batches
+from corvane.llm.lookalikes import by_table
 
 # Common words of the languages in the corpus.
 COMMON = frozenset(
@@ -44,7 +45,6 @@ _VOWEL = re.compile(r"[aeiouyáéíóúäëïöüàèìòùâêîôûãõåæøA
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{6}|[a-z][A-Z]{2}|(.)\1\1\1")
 _OUTER = re.compile(r"^[\"'“”‘’(\[{<]+|[\"'“”‘’)\]}>.,;:!?…]+$")
 _COLUMNS = re.compile(r"[,;|\"]+")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
 
 STATS = (
     "n_chars bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_ratio double, end_punct_share double, common_share double, unreadable_share double, "
@@ -56,8 +56,7 @@ def printable(token: str) -> tuple[int, int, int, int, int, int]:
     """Of a token: characters, unreadable characters, whether it is a word, whether a common one, a word's characters, symbols."""
     symbols = sum(not c.isalnum() for c in token)
     if not token.isascii():
-        token = unicodedata.normalize("NFKC", _INVISIBLE.sub("", token))
-        token = "".join("a" if unicodedata.category(c)[0] == "L" and ord(c) > 0x250 else c for c in token)
+        token = by_table(token)
     n = len(token)
     core = _OUTER.sub("", token)
     if not core:
@@ -143,12 +142,13 @@ _ENDS = (".", "!", "?", ":", ";", ",", '"', "”", "…")
 
 
 def verdict(s: tuple) -> str:
-    lines, unreadable, entry_lines, entry_chars, row_lines, dup_lines, dup_paragraphs, top = s[2], *s[7:]
-    if unreadable > 0.5:
-        return "junk"
-    if row_lines > 0.5:
+    chars, lines, common, unreadable, entry_lines, entry_chars, row_lines, dup_lines, dup_paragraphs, top = s[0], s[2], *s[6:]
+    if row_lines > 0.5 and unreadable <= 0.5:
         return "table"
-    if lines >= 3 and entry_lines > 0.5 and entry_chars > 0.4:
+    is_list = lines >= 3 and entry_lines > 0.5 and entry_chars > 0.4
+    if unreadable > 0.5 or not is_list and chars >= 80 and (common < 0.18 or common < 0.26 and unreadable > 0.06):
+        return "junk"
+    if is_list:
         return "list"
     if lines >= 3 and (dup_lines > 0.5 or dup_paragraphs > 0.5) or top > 0.5:
         return "boilerplate"
