@@ -1,15 +1,5 @@
 """Registered queries of the retrieval engine."""
 
-from __future__ import annotations
+from corvane.plans.queries import oracle_sql, queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
