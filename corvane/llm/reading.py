@@ -137,7 +137,7 @@ class Models:
         v, g = len(names), len(LEVELS) + 1
         size = v + _SYLLABLES + len(_LENGTHS) + 1
         counts = np.zeros((size, g))
-        word_of = np.array([vocabulary.get(w, -1) for w in spellings.words])
+        word_of = np.array([vocabulary.get(w, -1) for w in spellings.words], dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), np.diff(c.begin))
         ok = c.is_word & use[owner]
         np.add.at(counts, (word_of[c.numbers[ok]], level[owner[ok]]), 1)
