@@ -173,7 +173,7 @@ def section_title(c: Column) -> Column:
 
 
 def first_sentence(c: Column, after: int = 5) -> Column:
-    """A title up to the first stop behind character ``after`` that a blank or the end follows; else all of it."""
+    """A title up to, and without, the first stop behind character ``after`` that a blank or the end follows; else all of it."""
     at = F.regexp_instr(F.substring(c, after + 1, 1 << 30), F.lit(r"\.(?:\s|$)"))
     return strip(F.when(at > 0, F.left(c, F.lit(after - 1) + at)).otherwise(c))
 

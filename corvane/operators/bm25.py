@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Query terms that may be sent to every executor; with more, the join is shuffled.
 BROADCAST_TERMS = 1_000_000
+#: Bytes of a matrix of query terms by queries that are sent to every executor at once, and of one of term counts.
+MATRIX_BYTES = 64 << 20
 
 
 @dataclass
@@ -80,3 +85,69 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best of each query with their rank from 1; ties go to the smaller id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the k best chunks of each query, straight from the texts.
+
+    Only counts by term are shuffled. Then blocks of texts are scored against all queries by one product of
+    matrices, tf weights by query terms, and each block passes on its best k of each query, ties at the cut
+    included. The queries' terms go to the executors, in blocks of queries of a checked size.
+    """
+    docs = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    terms = query_terms(queries)
+    idf = weights(docs.select(F.explode(F.array_distinct("terms")).alias("term")), stats)
+    rows = terms.join(idf, "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()
+    n, avgdl = stats.first()
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "chunk_id"))]
+    by_query: dict = {}
+    for r in rows:
+        by_query.setdefault(r["query_id"], []).append(r)
+    found, ids = None, list(by_query)
+    while ids or found is None:
+        block, seen = [], set()
+        while ids and (not block or len(seen | {r["term"] for r in by_query[ids[0]]}) * (len(block) + 1) * 8 <= MATRIX_BYTES):
+            seen |= {r["term"] for r in by_query[ids[0]]}
+            block.append(ids.pop(0))
+        number = {t: i for i, t in enumerate(sorted(seen))}
+        matrix = np.zeros((len(number), len(block)))
+        for j, q in enumerate(block):
+            for r in by_query[q]:
+                matrix[number[r["term"]], j] = r["idf"] * r["qtf"] * (K1 + 1)
+        shared = queries.sparkSession.sparkContext.broadcast((pa.array(block, to_arrow_type(queries.schema["query_id"].dataType)), number, matrix, avgdl or 1.0))
+
+        def run(batches, shared=shared, k=k):
+            for batch in batches:
+                yield from _score_batch(batch, *shared.value, k)
+
+        part = docs.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k)
+
+
+def _score_batch(batch: pa.RecordBatch, ids: pa.Array, number: dict[str, int], matrix: np.ndarray, avgdl: float, k: int):
+    width = len(number)
+    if not width:
+        return
+    terms = batch.column("terms")
+    coded = terms.flatten().dictionary_encode()
+    of = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+    term = of[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(terms.offsets.to_numpy())
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    norm = K1 * (1 - B + B * sizes / avgdl)
+    step = max(1, MATRIX_BYTES // (8 * width))
+    for a in range(0, batch.num_rows, step):
+        b = min(batch.num_rows, a + step)
+        mine = term[begin[a] : begin[b]]
+        row = np.repeat(np.arange(b - a), sizes[a:b])
+        hit = mine >= 0
+        tf = np.bincount(row[hit] * width + mine[hit], minlength=(b - a) * width).reshape(b - a, width).astype(np.float64)
+        scores = np.round((tf / (tf + norm[a:b, None])) @ matrix, 6).T if len(ids) else np.zeros((0, b - a))
+        if b - a > k:
+            cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            q, d = np.nonzero((scores >= cut[:, None]) & (scores > 0))
+        else:
+            q, d = np.nonzero(scores > 0)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(d + a)), pa.array(scores[q, d])], names=["query_id", "chunk_id", "score"])

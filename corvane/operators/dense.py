@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import tokens
 from corvane.operators.bm25 import top_k
@@ -71,7 +72,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     size = max(1, BROADCAST_BYTES // (8 * max([len(r[1]) for r in rows], default=1)))
     for at in range(0, max(1, len(rows)), size):
         block = rows[at : at + size]
-        ids = pa.array([r[0] for r in block])
+        ids = pa.array([r[0] for r in block], to_arrow_type(queries.schema["query_id"].dataType))
         shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in block], dtype=np.float64)))
 
         def run(batches, shared=shared, k=k):
