@@ -62,9 +62,11 @@ def token_estimate(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Terms of the inverted index: lower case, cut at everything but letters, digits, ' and -, two characters at least."""
-    parts = F.transform(F.split(F.lower(c), "[^a-z0-9'-]+"), lambda t: F.btrim(t, F.lit("-'")))
-    return F.filter(parts, lambda t: F.length(t) >= 2)
+    """Terms of the inverted index: lower case, cut at everything but letters, digits, ' and -, two characters at least.
+
+    A term starts and ends with a letter or digit, so one pattern finds what cutting and trimming would leave.
+    """
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9][a-z0-9'-]*[a-z0-9]"), F.lit(0))
 
 
 def content_hash(c: Column) -> Column:

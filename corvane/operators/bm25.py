@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import tokens
+from corvane.storage import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Query terms that may be sent to every executor; with more, the join is shuffled.
@@ -57,7 +58,21 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -
 
 def weights(distinct_terms: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf) from a row for each chunk's distinct term."""
-    df = distinct_terms.groupBy("term").agg(F.count("*").alias("df"))
+    return weights_of(distinct_terms.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, df, len) of docs(chunk_id, terms) as a stored table; the term '' has the number of chunks and their length.
+
+    One pass over the texts for all that the weights need; counts are combined before they are shuffled.
+    """
+    size = F.size("terms").cast("bigint")
+    entries = F.concat(F.array(F.struct(F.lit("").alias("term"), size.alias("len"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("len"))))
+    return written(docs.select(F.explode(entries).alias("e")).groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.len").alias("len")))
+
+
+def weights_of(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) from (term, df)."""
     raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # stats is one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -95,11 +110,11 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     included. The queries' terms go to the executors, in blocks of queries of a checked size.
     """
     docs = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    terms = query_terms(queries)
-    idf = weights(docs.select(F.explode(F.array_distinct("terms")).alias("term")), stats)
-    rows = terms.join(idf, "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()
-    n, avgdl = stats.first()
+    counts = term_counts(docs)
+    n, avgdl = counts.where("term = ''").select("df", F.col("len") / F.col("df")).first() or (0, None)
+    stats = queries.sparkSession.createDataFrame([(n,)], "n bigint")
+    idf = weights_of(counts.where("term <> ''").select("term", "df"), stats)
+    rows = query_terms(queries).join(idf, "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "chunk_id"))]
     by_query: dict = {}
     for r in rows:

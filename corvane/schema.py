@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from corvane.storage import spread
+
 _S, _I = T.StringType(), T.IntegerType()
 
 #: Union of the two variants of the chunk record; a key that a variant lacks is null.
@@ -35,4 +37,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def once(chunks: DataFrame) -> DataFrame:
     """Each chunk_id once. Deliveries of an id agree in all but ``ingested_at``, so any of them will do."""
-    return chunks.dropDuplicates(["chunk_id"])
+    return spread(chunks, "chunk_id").dropDuplicates(["chunk_id"])
