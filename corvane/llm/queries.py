@@ -91,5 +91,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _p4_sql() -> str:
+    """Pairs by a form that is made with a character table and Unicode composition."""
+    alike = lookalikes.ALIKE
+    wide = {chr(n + 0xFEE0): chr(n) for n in range(0x21, 0x7F)}
+    blanks = dict.fromkeys("\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
+    table_ = alike | wide | blanks
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    form = f"translate(text, {quote(''.join(table_))}, {quote(''.join(table_.values()))})"
+    for joined, letters in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb05", "st"), ("\ufb06", "st")):
+        form = f"replace({form}, '{joined}', '{letters}')"
+    form = f"nfc_normalize(regexp_replace({form}, '[\\x{{ad}}\\x{{34f}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'))"
+    return f"""WITH f AS (SELECT DISTINCT chunk_id, text, md5({form}) AS form FROM chunks WHERE text <> '')
+SELECT DISTINCT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM f a JOIN f b ON a.form = b.form AND a.chunk_id < b.chunk_id AND a.text <> b.text"""
+
+
+def _p5_sql() -> str:
+    """The cuts one after the other, by recursion; a greedy pattern finds the last boundary of a piece."""
+    seg = "substr(text, s + 1, 2400)"
+    last = lambda p: f"length(regexp_extract({seg}, '^[\\s\\S]*{p}'))"
+    end = f"""CASE WHEN n - s <= 2400 THEN n
+    WHEN {last(chr(92) + 'n' + chr(92) + 'n')} > 1200 THEN s + {last(chr(92) + 'n' + chr(92) + 'n')}
+    WHEN {last('[.!?][ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')} > 1200 THEN s + {last('[.!?][ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')}
+    WHEN {last('[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')} > 1200 THEN s + {last('[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')}
+    ELSE s + 2400 END"""
+    return f"""WITH RECURSIVE cut AS (
+  SELECT chunk_id, text, n, piece_no, s, {end} AS e FROM (SELECT DISTINCT chunk_id, text, length(text) AS n, 1::BIGINT AS piece_no, 0::BIGINT AS s FROM chunks WHERE length(text) > 2400)
+  UNION ALL
+  SELECT chunk_id, text, n, piece_no, s, {end} AS e FROM (SELECT chunk_id, text, n, piece_no + 1 AS piece_no, e - 320 AS s FROM cut WHERE e < n)
+)
+SELECT chunk_id, piece_no, s AS start_pos, e AS end_pos FROM cut"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _p4_sql(), "p5_found": _p5_sql()}
