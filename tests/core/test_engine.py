@@ -300,3 +300,28 @@ def test_registry():
     from corvane import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_pipeline(spark, tmp_path):
+    from corvane.plans.pipeline import Engine, ingest_articles, ingest_chapters
+
+    text = "18. Article 92 -- Failure to obey\n" + "the lawful order was known to the accused and was not obeyed at once " * 4
+    other = "Article 112a -- Substances\n" + "wrongful use of a controlled substance on board the cutter at night " * 4
+    chunks = ingest_articles(pages(spark, [("c", None, 1, text), ("c", None, 2, other)]))
+    Engine.build(chunks).save(str(tmp_path / "e"))
+    engine = Engine.load(spark, str(tmp_path / "e"))
+    hits = engine.ask("What does Article 92 say of a lawful order?").collect()
+    assert [(h.article_number, h["mode"]) for h in hits] == [("92", "hybrid_filtered")]
+    both = engine.ask("wrongful use at night", article=None).orderBy("rank").collect()
+    assert both[0].article_number == "112a" and len(both) == 2 and both[0]["mode"] == "hybrid_unfiltered"
+    assert engine.ask("x", article="77").collect()[0]["mode"] == "hybrid_fallback"
+    assert "Art. 92" in engine.answers(engine.ask("Article 92 order")).first().answer
+    gold = spark.createDataFrame([("q", "Article 92 order", (["92"], None, None, None, None))], "query_id string, query string, gold struct<article_numbers: array<string>, section_numbers: array<string>, chunk_ids: array<string>, source_doc: string, notes: string>")
+    assert engine.evaluate(gold).first().mrr == 1.0
+    import shutil
+
+    shutil.rmtree(tmp_path / "e" / "bm25")
+    dense_only = Engine.load(spark, str(tmp_path / "e"))
+    assert dense_only.index is None and dense_only.ask("Article 92 order").first()["mode"] == "dense_filtered"
+    manual = ingest_chapters(pages(spark, [("m", "1", 1, "Section A. First\n" + "w " * 40)]))
+    assert manual.first().section_number == "A"
