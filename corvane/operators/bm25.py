@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import tokens
-from corvane.storage import written
+from corvane.storage import in_blocks, written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Query terms that may be sent to every executor; with more, the join is shuffled.
 BROADCAST_TERMS = 1_000_000
 #: Bytes of a matrix of query terms by queries that are sent to every executor at once, and of one of term counts.
 MATRIX_BYTES = 64 << 20
+#: Queries whose terms are fetched at once.
+QUERY_BLOCK = 2000
 
 
 @dataclass
@@ -114,13 +116,29 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     n, avgdl = counts.where("term = ''").select("df", F.col("len") / F.col("df")).first() or (0, None)
     stats = queries.sparkSession.createDataFrame([(n,)], "n bigint")
     idf = weights_of(counts.where("term <> ''").select("term", "df"), stats)
-    rows = query_terms(queries).join(idf, "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "chunk_id"))]
+    found = None
+    for part in in_blocks(queries, "query_id", QUERY_BLOCK):
+        rows = query_terms(part).join(idf, "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()
+        for shared in _matrices(rows, queries, avgdl or 1.0):
+
+            def run(batches, shared=shared, k=k):
+                for batch in batches:
+                    yield from _score_batch(batch, *shared.value, k)
+
+            hits = docs.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+            found = hits if found is None else found.unionByName(hits)
+    return top_k(found, k)
+
+
+def _matrices(rows: list, queries: DataFrame, avgdl: float):
+    """Broadcasts of (query ids, term numbers, weights by term and query, mean length); at least one, each of a bounded size."""
     by_query: dict = {}
     for r in rows:
         by_query.setdefault(r["query_id"], []).append(r)
-    found, ids = None, list(by_query)
-    while ids or found is None:
+    ids, first = list(by_query), True
+    while ids or first:
+        first = False
         block, seen = [], set()
         while ids and (not block or len(seen | {r["term"] for r in by_query[ids[0]]}) * (len(block) + 1) * 8 <= MATRIX_BYTES):
             seen |= {r["term"] for r in by_query[ids[0]]}
@@ -130,15 +148,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
         for j, q in enumerate(block):
             for r in by_query[q]:
                 matrix[number[r["term"]], j] = r["idf"] * r["qtf"] * (K1 + 1)
-        shared = queries.sparkSession.sparkContext.broadcast((pa.array(block, to_arrow_type(queries.schema["query_id"].dataType)), number, matrix, avgdl or 1.0))
-
-        def run(batches, shared=shared, k=k):
-            for batch in batches:
-                yield from _score_batch(batch, *shared.value, k)
-
-        part = docs.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, k)
+        ids_array = pa.array(block, to_arrow_type(queries.schema["query_id"].dataType))
+        yield queries.sparkSession.sparkContext.broadcast((ids_array, number, matrix, avgdl))
 
 
 def _score_batch(batch: pa.RecordBatch, ids: pa.Array, number: dict[str, int], matrix: np.ndarray, avgdl: float, k: int):

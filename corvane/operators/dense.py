@@ -16,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions.text import tokens
 from corvane.operators.bm25 import top_k
+from corvane.storage import in_blocks
 
-#: Bytes of query vectors that are sent to every executor at once; more queries are searched in blocks of this size.
+#: Bytes of query vectors that are fetched and sent to every executor at once; more are searched in blocks of this size.
 BROADCAST_BYTES = 64 << 20
 DIM = 64
 
@@ -65,13 +66,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Scores are rounded to six digits; ties go to the smaller id. Null vectors are left out.
     """
-    rows = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>")).orderBy("query_id").collect()
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "chunk_id"))]
     schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
+    given = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>"))
+    width = given.select(F.size("vector")).first()
     found = None
-    size = max(1, BROADCAST_BYTES // (8 * max([len(r[1]) for r in rows], default=1)))
-    for at in range(0, max(1, len(rows)), size):
-        block = rows[at : at + size]
+    for part in in_blocks(given, "query_id", BROADCAST_BYTES // (8 * max(1, width[0] if width else 1))):
+        block = part.orderBy("query_id").collect()
         ids = pa.array([r[0] for r in block], to_arrow_type(queries.schema["query_id"].dataType))
         shared = vectors.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in block], dtype=np.float64)))
 
@@ -91,6 +92,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "chunk_id", "score"])
 
         src = vectors.where("vector is not null").select("chunk_id", F.col("vector").cast("array<double>"))
-        part = src.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+        hits = src.mapInArrow(run, schema)
+        found = hits if found is None else found.unionByName(hits)
     return top_k(found, k)

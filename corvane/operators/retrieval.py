@@ -72,7 +72,10 @@ def inject(bm25: DataFrame, articles: DataFrame, targets: DataFrame, mode: str =
     chunks that are missing from the ranking go first and those in it keep their place; only if all are in it do
     they move to the front. With ``all``, all of them go first. Injected chunks are ordered by id and score 9999.
     """
-    pairs = articles.join(F.broadcast(targets.where("target is not null")), article_matches(F.col("article"), F.col("target"))).select("query_id", "chunk_id", F.lit(True).alias("named"))
+    # spellings of articles and targets are few; chunks and queries then join on equal ones
+    asked = targets.where("target is not null").select("target").distinct()
+    match = articles.select("article").distinct().join(asked, article_matches(F.col("article"), F.col("target")))
+    pairs = articles.join(match, "article").join(targets, "target").select("query_id", "chunk_id", F.lit(True).alias("named"))
     both = bm25.join(pairs, ["query_id", "chunk_id"], "full_outer")
     some_missing = F.max(F.col("named") & F.col("rank").isNull()).over(Window.partitionBy("query_id"))
     named = F.coalesce(F.col("named"), F.lit(False))
@@ -106,7 +109,7 @@ def filtered(ranked: DataFrame, articles: DataFrame, targets: DataFrame, k: int,
     Adds mode: <label>_filtered, _fallback or _unfiltered. ``exact`` wants equal articles instead of prefixes.
     """
     match = (F.col("article") == F.col("target")) & (F.col("article") != "") if exact else article_matches(F.col("article"), F.col("target"))
-    rows = ranked.join(articles, "chunk_id").join(F.broadcast(targets), "query_id", "left").withColumn("hit", F.coalesce(match, F.lit(False)))
+    rows = ranked.join(articles, "chunk_id").join(targets, "query_id", "left").withColumn("hit", F.coalesce(match, F.lit(False)))
     any_hit = F.max("hit").over(Window.partitionBy("query_id"))
     rows = rows.withColumn("any_hit", any_hit).where(F.col("hit") | ~F.col("any_hit"))
     order = Window.partitionBy("query_id").orderBy("rank", "chunk_id")

@@ -47,7 +47,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 def in_ranges(pages: DataFrame, ranges: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Pages whose number lies in a range (doc, chapter, first_page, last_page); skip(doc, page_num) are left out."""
-    r = F.broadcast(ranges.select(F.col("doc").alias("range_doc"), F.col("chapter").alias("range_chapter"), "first_page", "last_page"))  # one row a chapter
+    r = ranges.select(F.col("doc").alias("range_doc"), F.col("chapter").alias("range_chapter"), "first_page", "last_page")
     hit = pages.join(r, (F.col("doc") == F.col("range_doc")) & F.col("page_num").between(F.col("first_page"), F.col("last_page")))
     out = hit.select("doc", F.col("range_chapter").alias("chapter"), "page_num", "text", "is_exhibit")
     return out if skip is None else out.join(skip, ["doc", "page_num"], "left_anti")
@@ -142,7 +142,7 @@ def sections(pages: DataFrame, rule: Heading, titles: DataFrame | None = None) -
         strip(F.col("text")).alias("text"),
     )
     if titles is not None:
-        out = out.join(F.broadcast(titles.select("key", "better_title")), "key", "left").withColumn("title", F.coalesce("better_title", "title")).drop("better_title")
+        out = out.join(titles.select("key", "better_title"), "key", "left").withColumn("title", F.coalesce("better_title", "title")).drop("better_title")
     return out
 
 

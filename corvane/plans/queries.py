@@ -396,9 +396,10 @@ def r6_detect_article(spark, d):
 
 @query(_with(Q.CHUNKS, Q.targets()) + f"SELECT t.query_id, count(*) FILTER ({Q.MATCH}) AS n_prefix, count(*) FILTER (a.article = t.target) AS n_exact FROM targets t CROSS JOIN (SELECT DISTINCT article FROM articles) a GROUP BY t.query_id")
 def r7_r8_article_match(spark, d):
-    articles = _articles(spark, d).select("article").distinct()  # the articles of a code are few
-    both = _targets(spark, d).join(F.broadcast(articles), how="cross")
-    return both.groupBy("query_id").agg(F.count_if(retrieval.article_matches(F.col("article"), F.col("target"))).alias("n_prefix"), F.count_if(F.col("article") == F.col("target")).alias("n_exact"))
+    targets = _targets(spark, d)
+    match = targets.select("target").distinct().join(_articles(spark, d).select("article").distinct(), retrieval.article_matches(F.col("article"), F.col("target")))
+    counts = match.groupBy("target").agg(F.count("*").alias("n_prefix"), F.count_if(F.col("article") == F.col("target")).alias("n_exact"))
+    return targets.join(counts, "target", "left").select("query_id", F.coalesce("n_prefix", F.lit(0)).alias("n_prefix"), F.coalesce("n_exact", F.lit(0)).alias("n_exact"))
 
 
 @query(_with(Q.CHUNKS, Q.bm25(Q.expand("query"), 200), Q.targets(), Q.INJECT) + "SELECT * FROM injected")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +30,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For rows that are small but costly, which adaptive execution would put into few tasks.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def in_blocks(queries: DataFrame, key: str, rows: int) -> Iterator[DataFrame]:
+    """A table of queries in blocks of about ``rows`` rows, by the hash of their key, so that no more is held at once."""
+    n = max(1, -(-queries.count() // rows))
+    for i in range(n):
+        yield queries if n == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
