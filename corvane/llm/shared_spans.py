@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, cut_lineage, map_batches
+from corvane.llm.common import blocks, cut_lineage, map_batches, written
 
 #: Code points that are hashed at once.
 BLOCK = 1 << 20
 #: Keys of texts that are sent to every executor at most (16 bytes each); with more, the texts are shuffled.
 BROADCAST_KEYS = 2_000_000
 
+#: Texts with one chosen window from which a group is hot: its members are paired by full windows only.
+HOT = 32
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -121,8 +124,13 @@ def _classes(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
     return df.where(F.char_length(text_col) >= length).select(F.struct(F.xxhash64(text_col).alias("x"), F.hash(text_col).alias("m")).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def _met(classes: DataFrame, length: int, gram: int) -> DataFrame:
-    """Pairs (a, b), a < b, of keys of different texts that have a chosen window in common."""
+def _met(classes: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """Pairs (a, b), a < b, of keys of different texts that have a chosen window in common.
+
+    A window of ``gram`` characters in more than ``hot`` texts may be a formula that is shorter than ``length``, and
+    pairing all its texts could give many pairs that share nothing long enough. So such texts are paired by the full
+    windows around it instead.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
@@ -135,13 +143,52 @@ def _met(classes: DataFrame, length: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
 
     prints = map_batches(classes.select("key.x", "key.m", "text"), run, "h bigint, x bigint, m int").select("h", F.struct("x", "m").alias("key"))
-    a, b = prints.select("h", F.col("key").alias("a")), prints.select("h", F.col("key").alias("b"))
+    counted = written(prints.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1"))  # few windows stand more than once
+    cold = counted.where(F.col("c") <= hot)
+    pairs, rest = _paired(cold.select("h", "key")), counted.where(F.col("c") > hot)
+    if rest.isEmpty():  # no hot window, no text to look at again
+        return pairs
+    return pairs.unionByName(_paired(_full_windows(classes, rest, length, gram))).distinct()
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    a, b = rows.select("h", F.col("key").alias("a")), rows.select("h", F.col("key").alias("b"))
     return a.join(b, "h").where("a < b").select("a", "b").distinct()
 
 
-def _verified(classes: DataFrame, length: int, gram: int) -> DataFrame:
+def _full_windows(classes: DataFrame, hot: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, key) of the ``length`` windows around hot windows, one hash for each set of texts that share some.
+
+    Linear in the texts. Sets are told apart by the sum of their keys' hashes and their size, so a run of hundreds
+    of windows that the same texts share pairs them once.
+    """
+    mine = hot.groupBy("key").agg(F.collect_list("h").alias("hs"))  # at most a text's own windows
+    texts = classes.select("key", "text").join(mine.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(mine, "key")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows, hashes = [], []
+        for i, (text, hs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hs").to_pylist())):
+            code = code_points([text])
+            small, full = window_hashes(code, gram).view(np.int64), window_hashes(code, length).view(np.int64)
+            near = np.zeros(full.size + 1, dtype=np.int64)
+            for p in np.flatnonzero(np.isin(small, hs)):
+                near[max(0, p - (length - gram))] += 1
+                near[min(full.size, p + 1)] -= 1
+            found = np.unique(full[np.cumsum(near)[:-1] > 0])
+            rows.append(np.full(found.size, i))
+            hashes.append(found)
+        row = pa.array(np.concatenate(rows))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
+
+    windows = map_batches(texts.select("key.x", "key.m", "text", "hs"), run, "h bigint, x bigint, m int").select("h", F.struct("x", "m").alias("key"))
+    sets = windows.groupBy("h").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("c > 1")
+    one = sets.groupBy("c", "members").agg(F.min("h").alias("h")).select("h")
+    return windows.join(one, "h", "left_semi").select("h", "key")
+
+
+def _verified(classes: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     """(a, b, in_a, in_b): pairs of keys with their shared intervals."""
-    met = cut_lineage(_met(classes, length, gram))
+    met = cut_lineage(_met(classes, length, gram, hot))
     keys = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     if met.count() <= BROADCAST_KEYS // 2:
         keys = F.broadcast(keys)
@@ -166,23 +213,23 @@ def _verified(classes: DataFrame, length: int, gram: int) -> DataFrame:
     return found.select(F.struct(F.col("ax").alias("x"), F.col("am").alias("m")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("bm").alias("m")).alias("b"), "in_a", "in_b")
 
 
-def sharing_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
+def sharing_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None, hot: int = HOT) -> DataFrame:
     """Pairs (chunk_a, chunk_b), a < b, of ids whose texts have a run of ``length`` characters in common."""
     classes = _classes(df, id_col, text_col, length)
     ids = classes.select("key", "id").distinct()
-    between = _verified(classes, length, gram or length // 2).select("a", "b")
+    between = _verified(classes, length, gram or length // 2, hot).select("a", "b")
     x = between.join(ids.select(F.col("key").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
     same = ids.select("key", F.col("id").alias("ia")).join(ids.select("key", F.col("id").alias("ib")), "key").where("ia < ib").select("ia", "ib")
     pairs = x.unionByName(same).where("ia <> ib")
     return pairs.select(F.least("ia", "ib").alias("chunk_a"), F.greatest("ia", "ib").alias("chunk_b")).distinct()
 
 
-def shared_amount(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
+def shared_amount(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None, hot: int = HOT) -> DataFrame:
     """(id, n_chars, n_partners, shared_chars, shared_share) of every id with a shared span; partners are ids."""
     classes = _classes(df, id_col, text_col, length)
     ids = classes.select("key", "id", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
     copies = ids.groupBy("key").agg(F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"))
-    v = cut_lineage(_verified(classes, length, gram or length // 2))
+    v = cut_lineage(_verified(classes, length, gram or length // 2, hot))
     spans = v.select(F.col("a").alias("key"), F.col("b").alias("other"), F.explode("in_a").alias("r")).unionByName(v.select(F.col("b").alias("key"), F.col("a").alias("other"), F.explode("in_b").alias("r")))
     partners = spans.select("key", "other").distinct().join(copies.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(F.sum("copies").alias("n"))
     whole = copies.where("copies > 1").select("key", F.lit(0).cast("bigint").alias("s"), F.col("n_chars").alias("e"))

@@ -179,3 +179,15 @@ def test_hot_key(spark):
     assert n == 160 * 159 // 2
     alike = df.withColumn("text", F.when(F.col("chunk_id") < "h050", F.regexp_replace("text", "officer", "offi​cer")).otherwise(F.col("text")))
     assert lookalikes.print_alikes(alike.where("chunk_id >= 'h'")).count() == 50 * 50
+
+
+@pytest.mark.parametrize("hot", [1, 2, 1000])
+def test_hot_formulas(spark, hot):
+    """A formula of 250 characters in every text makes no pairs, by whichever way; longer shared runs do."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    formula, runs = text(250), [text(320), text(700)]
+    rows = [(f"f{i:02d}", text(100) + formula + "#" + text(90) + (runs[i % 2] + text(5) if i < 9 else "")) for i in range(40)]
+    df = chunks(spark, rows)
+    got = set(found(shared_spans.sharing_pairs(df, hot=hot)))
+    assert got == {(f"f{i:02d}", f"f{j:02d}") for i in range(9) for j in range(i + 1, 9) if i % 2 == j % 2}
