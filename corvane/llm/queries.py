@@ -81,7 +81,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"), everything=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

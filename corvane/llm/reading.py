@@ -7,7 +7,9 @@ of hard words are told apart from both ends of the scale. Words unseen in traini
 their syllables. The level with the highest posterior likelihood, under a uniform prior, is assigned; its grade
 is the posterior mean of the levels' mean grades.
 
-Null and empty texts have no words and get a null level. Repeated rows give a row each.
+Null and empty texts have no words and get a null level. Repeated rows give a row each. No text of another language
+is labelled, so such texts get a row with a null level; a text whose language isn't stated is scored if enough of
+its words were met in training.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SAMPLE = 3000
 MEMO = 1_000_000
 #: How many unigrams a sentence's length class counts for.
 LENGTH_WEIGHT = 4
+#: Share of words met in training from which a text of unstated language is scored.
+KNOWN = 0.3
 SMOOTHING = 0.5
 
 _LENGTHS = (4, 7, 10, 13, 17, 22, 28, 36)
@@ -177,10 +181,11 @@ def train_models(docs: DataFrame, labels: DataFrame, lang: str = "en", sample: i
     return Models.train([r["text"] for r in rows], [r["band"] for r in rows])
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, lang: str = "en", sample: int = SAMPLE) -> DataFrame:
-    """Rows (doc_id, words, level, grade, band) of every document in ``lang``.
+def reading_levels(docs: DataFrame, labels: DataFrame, lang: str = "en", sample: int = SAMPLE, everything: bool = False) -> DataFrame:
+    """Rows (doc_id, words, level, grade, band) of every document in ``lang``, or of every document at all.
 
-    band is plain for the lowest level, demanding for the highest, else standard; null without words.
+    band is plain for the lowest level, demanding for the highest, else standard; null without words and for
+    texts in other languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train_models(docs, labels, lang, sample))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -191,12 +196,16 @@ def reading_levels(docs: DataFrame, labels: DataFrame, lang: str = "en", sample:
         spellings = state.setdefault("spellings", Spellings(models.vocabulary))
         c = count(batch.column(1).to_pylist(), spellings)
         level, grade = models.score(c)
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(c.begin))
-        words = np.bincount(owner[c.is_word], minlength=batch.num_rows)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(c.begin))[c.is_word]
+        words = np.bincount(owner, minlength=batch.num_rows)
+        known = np.bincount(owner[c.unigram[c.is_word] < len(models.vocabulary)], minlength=batch.num_rows)
+        given = batch.column(2).to_pylist()
+        scored = np.array([x == lang for x in given], dtype=bool) | np.array([x is None for x in given], dtype=bool) & (known >= KNOWN * words)
+        level = np.where(scored, level, -1)
         none = level < 0
         top = len(LEVELS)
         band = [None if x < 0 else "plain" if x == 0 else "demanding" if x == top else "standard" for x in level.tolist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(level, pa.int32(), mask=none), pa.array(grade, pa.float64(), mask=none), pa.array(band, pa.string())], names=["doc_id", "words", "level", "grade", "band"])
 
-    src = docs.where(F.col("lang") == lang).select("doc_id", "text")
+    src = (docs if everything else docs.where(F.col("lang") == lang)).select("doc_id", "text", "lang")
     return map_batches(src, run, f"doc_id {kind}, words bigint, level int, grade double, band string")

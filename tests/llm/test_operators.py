@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import encoding, leakage, lookalikes, quality, reading, scanned, shared_spans, splitting, truncation
+from corvane.llm import queries as llm_queries
 
 CHUNK = "chunk_id string, text string, section_number string, section_title string, source string, chapter_title string, page_start int, id string, key string, h bigint, n bigint, kind string, word string"
 
@@ -146,6 +147,16 @@ def test_reading(spark):
     assert not reading.reading_levels(docs.limit(0), labels).collect()
 
 
+def test_reading_of_every_document(spark, tmp_path):
+    other = [(200, None, "en"), (202, "El oficial debe firmar el informe. " * 5, "es"), (203, EASY * 5, None), (204, "El oficial debe firmar el informe. " * 5, None), (205, None, None), (206, "", "fr")]
+    spark.createDataFrame([(i, (EASY, PROSE, HARD)[i % 3] * 3, "en") for i in range(30)] + other, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "ann", ("plain", "standard", "demanding")[i % 3]) for i in range(30)], "doc_id bigint, annotator string, band string").write.parquet(str(tmp_path / "reading_labels.parquet"))
+    got = {r.doc_id: r for r in llm_queries.p9_levels(spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(30), *range(200, 207)} - {201} and got[203].band == got[0].band == "plain"
+    assert got[202].words == 30 and all(got[i].level is None and got[i].grade is None and got[i].band is None for i in (200, 202, 204, 205, 206))
+    assert {r.doc_id for r in llm_queries.p9_found(spark, str(tmp_path)).collect()} <= set(range(30))
+
+
 def scan_rows():
     rows = [(f"p{i}", PROSE * 6 + "A cross-examination of the officer is held. ") for i in range(40)]
     wrapped = "The officer of the watch must sign the re-\n   port before the end of the day, and the cl-\nGUARD BOOK 12\nerk will keep it in the file. The 0fficer of the watch held a cross-\nexamination and the rep0rt is kept\n- 14 -\nin the file. The ofiicer may sign it\n"
