@@ -83,10 +83,15 @@ def pack_article(text: str, size: int = SIZE) -> list[str]:
     return [t for t, _ in fold.done]
 
 
+# By style, what joins the paragraphs of a large section, and up to how many lines a block stays whole.
+SEPARATORS = {"numbered": "\n", "capitals": "\n\n", "letters": "\n", "sentence": "\n\n", "section": "\n\n"}
+WHOLE_UP_TO = {"numbered": 2, "capitals": 2, "letters": 2, "sentence": 0, "section": 0}
+
+
 def pack_chapter(sections: list[tuple[str, object]], style: str = "section", size: int = SIZE) -> list[tuple[str, list]]:
     """Chunks of a chapter's (text, label) sections: small neighbours merge, large sections are packed by paragraphs."""
     start = re.compile(PARAGRAPH_STARTS[style])
-    sep = "\n" if style == "numbered" else "\n\n"
+    sep = SEPARATORS[style]
     fold = Fold(size, "\n\n")
     for text, label in sections:
         if estimate(count(text)) <= size:
@@ -94,7 +99,7 @@ def pack_chapter(sections: list[tuple[str, object]], style: str = "section", siz
             continue
         fold.flush()
         inner = Fold(size, sep)
-        for p in split_paragraphs(text, start, 0 if style == "section" else 2):
+        for p in split_paragraphs(text, start, WHOLE_UP_TO[style]):
             if style == "section" and estimate(count(p)) > size:
                 by_sentence = Fold(size, "  ")
                 for s in re.split(r"(?<=[.!?])  ?(?=[A-Z])", p):

@@ -157,9 +157,15 @@ def _mark(table: DataFrame, heads: DataFrame) -> DataFrame:
 PARAGRAPH_STARTS = {
     "article": r"^(?:[a-z]\.\s|\([a-z]\)\s|\(\d{1,2}\)\s|\d{1,2}\.\s|\[Note:|[A-Z][a-z]+\s+of\s+statute|Elements?\.?|Explanation\.?|Maximum\s+punishment|Sample\s+spec|Discussion|[A-Z]{2,})",
     "numbered": r"^(?:\d{1,2}\.[A-Z](?:\.\d{1,2})?(?:\.[a-z])?\.|[A-Z]\.\s+[A-Z]|\(\d{1,2}\)\s|\([a-z]\)\s|\[\d\]\s|Note:\s|[A-Z]{4,})",
+    "capitals": r"^(?:[A-Z]\.\s{2,}[A-Z]|\d{1,2}\.\s+[A-Z]|[a-z]\.\s+[A-Z]|\(\d{1,2}\)\s|\([a-z]\)\s|NOTE:\s|[A-Z]{3,}\s)",
+    "letters": r"^(?:[A-Z]{1,2}\.\s+[A-Z\d]|\d{1,2}\.\s+[A-Z]|[a-z]\.\s+[A-Z\dT]|\(\d{1,2}\)\s|\([a-z]\)\s|[A-Z]{3,})",
+    "sentence": r"^(?:[A-Z]\.\s+[A-Z]|\d{1,2}\.\s+[A-Z]|[a-z]\.\s+[A-Z]|\(\d{1,2}\)\s|\([a-z]\)\s|NOTE:\s)",
     "section": r"^(?:[A-Z]\.\d+(?:\.[a-z](?:\.[ivx]+)?)?\.\s|[a-z]\.\s|\([ivx]+\)\s|\(\d+\)\s|\([a-z]\)\s|Section\s[A-Z]\.)",
 }
 
+# The heading style of each manual, by the start of its name.
+MANUALS = {"hgcm": "numbered", "hgim": "capitals", "hgsep": "letters", "hgsa": "sentence", "hgmj": "section"}
+
 
 def paragraphs(df: DataFrame, id_col: str, text_col: str, start: str, whole_up_to: int = 2) -> DataFrame:
     """(id, block, paragraph, text): blank lines part blocks, and lines that match ``start`` part paragraphs in them.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,13 @@ def ingest_articles(pages: DataFrame, titles: DataFrame | None = None) -> DataFr
 
 
 def ingest_chapters(pages: DataFrame, heading: str = "section") -> DataFrame:
-    """Chunk records of a manual's pages; ``heading`` names its heading style."""
-    return chunking.chapter_chunks(segment.sections(segment.clean_pages(pages), segment.HEADINGS[heading]), "numbered" if heading == "numbered" else "section")
+    """Chunk records of a manual's pages; ``heading`` names its heading style.
+
+    'book' takes the style of each manual by the start of its name; pages of other books are left out.
+    """
+    if heading == "book":
+        return reduce(DataFrame.unionByName, (ingest_chapters(pages.where(F.col("doc").startswith(name)), style) for name, style in segment.MANUALS.items()))
+    return chunking.chapter_chunks(segment.sections(segment.clean_pages(pages), segment.HEADINGS[heading]), heading)
 
 
 @dataclass

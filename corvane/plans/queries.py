@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import bm25, chunking, dense, evaluation, passages, prompts, retrieval, segment
 from corvane.plans import sql as Q
+from corvane.plans.pipeline import ingest_chapters
 from corvane.schema import once, table
 
 K = 8
@@ -256,8 +257,7 @@ def c14_c15_article_chunks(spark, d):
 
 @query(None)
 def c14_c16_c18_chapter_chunks(spark, d):
-    s = segment.sections(_pages(spark, d).where("doc like 'hgmj%'"), segment.HEADINGS["section"])
-    return chunking.chapter_chunks(s)
+    return ingest_chapters(table(spark, d, "source_pages"), "book")
 
 
 @query(

@@ -207,6 +207,22 @@ def test_chunk_records(spark):
     assert [r.chunk_id for r in got][:1] == ["c_092_000"] and all(r.total_chunks_in_article == len(got) for r in got)
 
 
+@pytest.mark.parametrize(("style", "sep", "parts"), [("capitals", "\n\n", 1), ("letters", "\n", 1), ("sentence", "\n\n", 2)])
+def test_packing_by_the_rules_of_each_manual(style, sep, parts):
+    a, b, c = (f"{i}. Item {words(20)}" for i in (1, 2, 3))
+    assert [t for t, _ in chunking.pack_chapter([(f"{a}\n{b}\n{c}", 1)], style, size=60)] == [a + sep + b, c]
+    assert len(chunking.pack_chapter([(f"1. Item {words(30)}\n2. Item {words(30)}", 1)], style, size=60)) == parts
+
+
+def test_chapter_chunks_of_all_manuals(spark, tmp_path):
+    from corvane.plans.queries import queries
+
+    heads = {"hgcm1": "1.A. Orders", "hgim1": "A.  GENERAL", "hgsep1": "AA. General", "hgsa1": "A. General. The", "hgmj1": "Section A. General", "dcm1": "Article 92 - Orders"}
+    pages(spark, [(doc, "1", 1, f"{head}\n{words(30)}") for doc, head in heads.items()]).write.parquet(str(tmp_path / "source_pages.parquet"))
+    got = {r.source: r.section_number for r in queries()["c14_c16_c18_chapter_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {"hgcm1": "1.A.", "hgim1": "A", "hgsep1": "AA", "hgsa1": "A", "hgmj1": "A"}
+
+
 HIT = "query_id string, chunk_id string, rank int, score double, content_hash string, source string, article_number string, article_title string, section_number string, section_title string, chapter_number string, chapter_title string, heading_path array<string>, page_start int, page_end int, chunk_index int, text string"
 
 
