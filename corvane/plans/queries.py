@@ -128,6 +128,15 @@ def t9_first_sentence(spark, d):
     return _chunks(spark, d).where("text is not null").select("chunk_id", T.first_sentence(F.left("text", F.lit(200))).alias("title"))
 
 
+@query(
+    _with(Q.CHUNKS)
+    + f"""SELECT chunk_id, {Q.strip("CASE WHEN rest LIKE '%.%' AND regexp_matches(rest, '\\.(?:\\s|$)') THEN left(text, 5 + length(regexp_extract(rest, '^([\\s\\S]*?)\\.(?:\\s|$)', 1))) ELSE text END")} AS title FROM (SELECT chunk_id, text, substr(text, 6) AS rest FROM ch WHERE text IS NOT NULL)"""
+)
+def t9_whole_first_sentence(spark, d):
+    """The first sentence of the whole text, however long it is."""
+    return _chunks(spark, d).where("text is not null").select("chunk_id", T.first_sentence(F.col("text")).alias("title"))
+
+
 @query(_with(Q.CHUNKS) + f"SELECT chunk_id, {Q.clean('text', T.ARTIFACT_A)} AS text_a, {Q.clean('text', T.ARTIFACT_B)} AS text_b FROM ch")
 def t10_clean_text(spark, d):
     return _chunks(spark, d).select("chunk_id", T.clean_text(F.col("text"), T.ARTIFACT_A).alias("text_a"), T.clean_text(F.col("text"), T.ARTIFACT_B).alias("text_b"))

@@ -45,6 +45,15 @@ def test_functions(spark, f, value, want):
     assert one(spark, f, value) == want
 
 
+def test_first_sentence_of_a_long_text(spark, tmp_path):
+    from corvane.plans.queries import queries
+
+    texts = ["a" * 300 + ". More text", "a" * 300, "One. Two", None]
+    spark.createDataFrame([(str(i), t, None) for i, t in enumerate(texts)], "chunk_id string, text string, ingested_at timestamp").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.chunk_id: r.title for r in queries()["t9_whole_first_sentence"](spark, str(tmp_path)).collect()}
+    assert got == {"0": "a" * 300, "1": "a" * 300, "2": "One. Two"}
+
+
 def test_tokens_match_python(spark):
     texts = ["It's a well-known café--no? 'quoted' x 92 a1", "", "ÉCOLE - -- '", "A\u00a0B cd\nef"]
     want = [[t for t in (w.strip("-'") for w in re.split(r"[^a-z0-9'-]+", s.lower())) if len(t) >= 2] for s in texts]
