@@ -386,7 +386,8 @@ def _odd_spelling(w: str) -> bool:
 
 
 def occurrences(texts: DataFrame, model: Furniture, frequent: set[str]) -> DataFrame:
-    """(id, kind, a, b, c): furniture lines; broken words as halves and hyphen; spellings to look up."""
+    """(id, kind, a, b, c): furniture lines; broken words as halves and hyphen; spellings to look up, with 'first' or
+    'last' for a spelling in letters at an end of its text, where a word may have been cut."""
     shared = texts.sparkSession.sparkContext.broadcast((model, frequent))
     kind = texts.schema["id"].dataType.simpleString()
     state: dict = {}
@@ -409,7 +410,7 @@ def occurrences(texts: DataFrame, model: Furniture, frequent: set[str]) -> DataF
             tokens = (without(rest, broken) if broken else rest).split()
             looked = []
             common = 0
-            for t in tokens:
+            for k, t in enumerate(tokens):
                 w = memo.get(t)
                 if w is None:
                     w = bare(t)
@@ -417,12 +418,11 @@ def occurrences(texts: DataFrame, model: Furniture, frequent: set[str]) -> DataF
                 if w == 1:
                     common += 1
                 elif w:
-                    looked.append((t, w))
+                    looked.append((k, w))
             if looked and common >= 0.2 * len(tokens):
-                ends = (tokens[0], tokens[-1])
-                for t, w in looked:
-                    if t not in ends or not w.isalpha():
-                        out.add(("spelling", w, "", ""))
+                for k, w in looked:
+                    end = "" if not w.isalpha() else "first" if k == 0 else "last" if k == len(tokens) - 1 else ""
+                    out.add(("spelling", w, end, ""))
             at += [i] * len(out)
             rows += sorted(out)
         cols = [batch.column("id").take(pa.array(at, pa.int32())), *(pa.array([r[k] for r in rows], pa.string()) for k in range(4))]
@@ -437,7 +437,7 @@ def _trigrams(word) -> F.Column:
 
 
 def corrections(spellings: DataFrame, counts: DataFrame, ranking: Trees) -> DataFrame:
-    """(spelling, word): the best candidate of every distinct spelling that has one above one half."""
+    """(spelling, word, cost): the best candidate of every distinct spelling that has one above one half."""
     known = counts.where((F.col("n") >= LEAST) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+(?:[-']\p{L}+)*$"))
     posts = known.select(F.col("word"), F.col("n").alias("n_word"), F.explode(_trigrams(F.col("word"))).alias("gram"))
     often = posts.groupBy("gram").agg(F.count("*").alias("df"))
@@ -451,10 +451,26 @@ def corrections(spellings: DataFrame, counts: DataFrame, ranking: Trees) -> Data
         rows = [rank_row(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("spelling", "word", "n_spelling", "n_word")))]
         score = shared.value.scores(np.array(rows, dtype=float).reshape(-1, 8))
         cost = np.array([r[0] for r in rows])
-        return pa.RecordBatch.from_arrays([batch.column("spelling"), batch.column("word"), batch.column("n_word"), pa.array(np.where(cost <= 3, score, 0.0))], names=["spelling", "word", "n_word", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("spelling"), batch.column("word"), batch.column("n_word"), pa.array(np.where(cost <= 3, score, 0.0)), pa.array(cost)], names=["spelling", "word", "n_word", "score", "cost"])
 
-    ranked = map_batches(spread(near, "spelling", "word"), run, "spelling string, word string, n_word bigint, score double").where("score > 0.5")
-    return ranked.groupBy("spelling").agg(F.max(F.struct("score", "n_word", "word")).alias("b")).select("spelling", "b.word")
+    ranked = map_batches(spread(near, "spelling", "word"), run, "spelling string, word string, n_word bigint, score double, cost double").where("score > 0.5")
+    return ranked.groupBy("spelling").agg(F.max(F.struct("score", "n_word", "word", "cost")).alias("b")).select("spelling", "b.word", "b.cost")
+
+
+def not_fragments(misread: DataFrame, counts: DataFrame, fixed: DataFrame) -> DataFrame:
+    """misread(spelling, end, cost, ...) without spellings at an end of a text that may be the rest of a cut word.
+
+    One there counts unless a known word, itself not misread, ends or starts with it; confusions explain all of it anyway,
+    since other edits cost more than a correction may.
+    """
+    plain = misread.where("end = ''")
+    ends = misread.where("end <> ''")
+    longer = counts.where((F.col("n") >= LEAST) & (F.length("word") > 4)).select("word").join(fixed.select(F.col("spelling").alias("word")), "word", "left_anti")
+    sizes = F.sequence(F.lit(4), F.length("word") - 1)
+    rests = F.transform(sizes, lambda k: F.struct(F.right("word", k).alias("spelling"), F.lit("first").alias("end")))
+    starts = F.transform(sizes, lambda k: F.struct(F.left("word", k).alias("spelling"), F.lit("last").alias("end")))
+    cut = longer.select(F.inline(F.concat(rests, starts))).join(ends.select("spelling", "end").distinct(), ["spelling", "end"], "left_semi").distinct()
+    return plain.unionByName(ends.join(cut, ["spelling", "end"], "left_anti"))
 
 
 def joins(breaks: DataFrame, counts: DataFrame, model: Trees) -> DataFrame:
@@ -488,7 +504,8 @@ def noise(chunks: DataFrame, pages: DataFrame, id_col: str = "chunk_id", text_co
     lines = occ.where(F.col("kind").isin("header", "page_no")).select("id", "kind", F.col("a").alias("token"), F.col("a").alias("seen"))
     sure = {w: n for w, n in frequent.items() if w in settled}
     fixed = corrections(occ.where("kind = 'spelling'").select(F.col("a").alias("spelling")).distinct(), counts, train_ranking(sure))
-    misread = occ.where("kind = 'spelling'").select("id", F.col("a").alias("spelling")).join(fixed, "spelling").select("id", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("spelling").alias("seen"))
+    fixed = written(fixed)
+    misread = not_fragments(occ.where("kind = 'spelling'").select("id", F.col("a").alias("spelling"), F.col("b").alias("end")).join(fixed, "spelling"), counts, fixed).select("id", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("spelling").alias("seen"))
     whole = joins(occ.where("kind = 'break'").select("a", "b", "c").distinct(), counts, train_joins(sure))
     hyphen = occ.where("kind = 'break'").select("id", "a", "b", "c").join(whole, ["a", "b", "c"]).select("id", F.lit("hyphen").alias("kind"), F.col("word").alias("token"), F.concat("a", "c", F.lit("\n"), "b").alias("seen"))
     return lines.unionByName(misread).unionByName(hyphen).distinct().withColumnRenamed("id", id_col)

@@ -178,6 +178,16 @@ def test_scanned(spark):
     assert fixed["n"] is None and fixed["e"] == ""
 
 
+def test_misread_at_the_ends(spark):
+    rows = scan_rows() + [("first", "Rcport to the clerk. " + PROSE * 2), ("last", PROSE * 2 + "The clerk will keep the rcport.")]
+    got = found(scanned.noise(chunks(spark, rows), scan_pages(spark)))
+    assert {r[0] for r in got if r[1:3] == ("misread", "report")} >= {"first", "last"}
+    misread = spark.createDataFrame([("a", "lear", "first", "tear", 1.0), ("b", "lear", "", "tear", 1.0), ("c", "rcport", "last", "report", 1.0), ("d", "lear", "last", "tear", 1.0)], "id string, spelling string, end string, word string, cost double")
+    counts = spark.createDataFrame([("clear", 9), ("rcported", 5), ("rcports", 2), ("tear", 50)], "word string, n bigint")
+    fixed = spark.createDataFrame([("lear", "tear"), ("rcported", "reported")], "spelling string, word string")
+    assert {r.id for r in scanned.not_fragments(misread, counts, fixed).collect()} == {"b", "c", "d"}
+
+
 def test_scanned_empty(spark):
     assert not scanned.noise(chunks(spark, scan_rows()).limit(0), scan_pages(spark).limit(0)).collect()
 
