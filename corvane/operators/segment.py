@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +17,8 @@ class Heading:
     """A heading rule: a pattern of a whole line with the key and the title as groups 1 and 2.
 
     keep: 'first' heading of each key, or 'all'. prefer: a pattern that a heading of a key is chosen by before its
-    place. least: the smallest number that a key may have. preamble: text before the first heading goes to it.
+    place. least: the smallest number that a key may have. preamble: text before the first heading goes to it. own:
+    a key must start with its chapter and a stop.
     """
 
     pattern: str
@@ -25,6 +26,7 @@ class Heading:
     prefer: str | None = None
     least: int | None = None
     preamble: bool = False
+    own: bool = False
 
 
 # The heading styles of the books.
@@ -101,6 +103,8 @@ def headings(line_table: DataFrame, rule: Heading) -> DataFrame:
     heads = line_table.where(F.col("line").rlike(rule.pattern)).select(*_CHAPTER, "page_num", "pos", "line", F.regexp_extract("line", rule.pattern, 1).alias("key"), strip(F.regexp_extract("line", rule.pattern, 2)).alias("title"))
     if rule.least is not None:
         heads = heads.where(F.regexp_replace("key", "[^0-9]", "").cast("int") >= rule.least)
+    if rule.own:
+        heads = heads.where(F.expr("startswith(key, concat(chapter, '.'))"))
     if rule.keep == "first":
         better = F.col("line").rlike(rule.prefer).cast("int") if rule.prefer else F.lit(0)
         w = Window.partitionBy(*_CHAPTER, "key").orderBy(F.desc(better), "pos")
@@ -146,6 +150,16 @@ def sections(pages: DataFrame, rule: Heading, titles: DataFrame | None = None) -
     return out
 
 
+def chapter_sections(pages: DataFrame, style: str) -> DataFrame:
+    """Sections of a manual. Numbered ones are those of the page's own chapter; chapter 6 is split by its definitions."""
+    if style != "numbered":
+        return sections(pages, HEADINGS[style])
+    six = F.col("chapter").eqNullSafe(F.lit("6"))
+    defined = sections(pages.where(six), HEADINGS["definition"])
+    own = sections(pages.where(~six), replace(HEADINGS["numbered"], own=True))
+    return own.unionByName(defined.withColumn("key", F.when(F.col("title").isNull(), F.lit("6")).otherwise(F.concat(F.lit("6."), "key"))))
+
+
 def _mark(table: DataFrame, heads: DataFrame) -> DataFrame:
     """Line table with the counting headings marked; null chapters are a chapter of their own."""
     h = heads.select(*[F.col(c).alias(f"h_{c}") for c in _CHAPTER], F.col("pos").alias("h_pos"), "key", "title")

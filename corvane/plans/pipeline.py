@@ -26,7 +26,7 @@ def ingest_chapters(pages: DataFrame, heading: str = "section") -> DataFrame:
     """
     if heading == "book":
         return reduce(DataFrame.unionByName, (ingest_chapters(pages.where(F.col("doc").startswith(name)), style) for name, style in segment.MANUALS.items()))
-    return chunking.chapter_chunks(segment.sections(segment.clean_pages(pages), segment.HEADINGS[heading]), heading)
+    return chunking.chapter_chunks(segment.chapter_sections(segment.clean_pages(pages), heading), heading)
 
 
 @dataclass

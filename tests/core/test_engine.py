@@ -161,6 +161,12 @@ def test_sections(spark):
     assert [(r.key, r.title) for r in got] == [("92", "Failure"), ("93", "Cruelty")]
 
 
+def test_numbered_sections_of_the_own_chapter(spark):
+    p = pages(spark, [("m", "5", 1, "5.A. Orders\nsee\n7.F.2. Before the separation\nend"), ("m", "6", 2, "A. Absence. Not here\n7.F.2. Before that\nB. Board: Members"), ("m", "7", 3, "no heading")])
+    got = segment.chapter_sections(p, "numbered").orderBy("chapter", "pos").collect()
+    assert [(r.chapter, r.key) for r in got] == [("5", "5.A."), ("6", "6.A"), ("6", "6.B"), ("7", "A")] and got[0].text.endswith("end") and "7.F.2." in got[1].text
+
+
 def test_page_lookup(spark):
     p = pages(spark, [("m", "1", 1, "ab"), ("m", "1", 3, "cd")])
     offs = {r.page_num: r.offset for r in segment.offsets(p).collect()}
