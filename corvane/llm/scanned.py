@@ -33,7 +33,7 @@ from corvane.llm.common import bounded_sample, map_batches, written
 from corvane.llm.lookalikes import by_table
 from corvane.llm.quality import COMMON
 from corvane.llm.truncation import BUCKETS, _columns, fit
-from corvane.storage import spread
+
 
 SAMPLE = 4000
 #: Most frequent words, which are never looked up for corrections and train the ranking.
@@ -453,7 +453,7 @@ def corrections(spellings: DataFrame, counts: DataFrame, ranking: Trees) -> Data
         cost = np.array([r[0] for r in rows])
         return pa.RecordBatch.from_arrays([batch.column("spelling"), batch.column("word"), batch.column("n_word"), pa.array(np.where(cost <= 3, score, 0.0)), pa.array(cost)], names=["spelling", "word", "n_word", "score", "cost"])
 
-    ranked = map_batches(spread(near, "spelling", "word"), run, "spelling string, word string, n_word bigint, score double, cost double").where("score > 0.5")
+    ranked = map_batches(near.repartition("spelling", "word"), run, "spelling string, word string, n_word bigint, score double, cost double").where("score > 0.5")
     return ranked.groupBy("spelling").agg(F.max(F.struct("score", "n_word", "word", "cost")).alias("b")).select("spelling", "b.word", "b.cost")
 
 
