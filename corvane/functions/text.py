@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as a blank, whatever engine reads the pattern.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same as single characters.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A letter, digit or underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
 
@@ -49,7 +50,7 @@ KEYWORDS = (
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -87,7 +88,11 @@ def truncate(c: Column, n: int, mark: str = "…") -> Column:
 
 
 def join_hyphens(c: Column) -> Column:
-    return F.regexp_replace(c, rf"({WORD}+)-\n{WS}*({WORD}+)", "$1$2")
+    """Words broken by a hyphen at a line end put together; a half that was joined on its left stays apart on its right.
+
+    The pattern starts at the hyphen, so no word is scanned more than once.
+    """
+    return F.regexp_replace(c, rf"(?<={WORD})-\n{WS}*({WORD}++)(-\n{WS}*+(?={WORD}))?", "$1$2")
 
 
 def collapse(c: Column) -> Column:
@@ -119,7 +124,7 @@ def drop_page_marks(c: Column) -> Column:
 def clean_page(c: Column, header: Column) -> Column:
     """Running header, page numbers on lines of their own and runs of blank lines taken out; header is a pattern."""
     c = F.regexp_replace(c, F.concat(header, F.lit(r"\s*\n?")), F.lit(""))
-    c = F.regexp_replace(c, r"(?m)(?:^|\n)(?:IV|\d{1,2})-\d{1,3}(?:\n|$)", "\n")
+    c = F.regexp_replace(c, r"(?dm)(?:^|\n)(?:IV|\d{1,2})-\d{1,3}(?:\n|$)", "\n")
     return strip(collapse(c))
 
 
@@ -132,10 +137,11 @@ def ocr_repair(c: Column, page: Column, scanned_page: int = 40) -> Column:
 
 def mend_split_words(c: Column) -> Column:
     """The ordered repair of words that extraction tore apart; each step sees the result of those before it."""
+    # The patterns, in order.
     steps = (
         (r"(\d{1,2})-\n(\d{1,3})\n", "\n"),
-        (r"(?m)(?:^|\n)\d{1,2}-\d{1,3}(?:\n|$)", "\n"),
-        (r"(?m)[^\S\n]+$", ""),
+        (r"(?dm)(?:^|\n)\d{1,2}-\d{1,3}(?:\n|$)", "\n"),
+        (r"(?dm)[^\S\n]+$", ""),
         (r"(?<=[A-Za-z])\n ([a-z])", " $1"),
         (r"(?<=\s)([b-hj-z])\n([a-z])", "$1$2"),
         (r"(?<=[\s\n.(\[])([A-Z])\n([a-z])", "$1$2"),
@@ -164,6 +170,7 @@ def title_case(c: Column) -> Column:
 
 def section_title(c: Column) -> Column:
     """An all-capitals title in title case, with torn fragments put back."""
+    # The patterns, in order.
     c = F.regexp_replace(strip(c), r"\s*\n\s*", " ")
     c = F.regexp_replace(c, r"-([A-Z]) ([A-Z])", "-$1$2")
     c = F.regexp_replace(c, r"([A-Z]{2,}) ([B-HJ-Z]) ([A-Z]{2,})", "$1$2 $3")
@@ -203,45 +210,47 @@ def outline(c: Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
 
 
-def window_of_lines(text: str, artifact: re.Pattern, limit: int, elements_first: bool) -> str:
-    """The most telling lines of one text; see ``excerpt``."""
-    rows = [s for s in text.split("\n") if s.strip() and not artifact.fullmatch(s)]
-    joined = "\n".join(rows)
-    if not rows:
-        return text[:limit]
-    if len(joined) <= limit:
-        return joined
-    opens = [i for i, s in enumerate(rows) if _ELEMENTS.fullmatch(s) or len(s) < 80 and _INLINE_ELEMENTS.search(s)] if elements_first else []
-    found = [len(_KEYWORD.findall(s)) for s in rows]
-    best = opens[0] if opens else found.index(max(found))
-    ends, size = best, 0
-    while ends < len(rows) and (ends == best or size + len(rows[ends]) + 1 <= limit):
-        size += len(rows[ends]) + 1
-        ends += 1
-    starts = best
-    if size < limit // 2:
-        while starts and size + len(rows[starts - 1]) + 1 <= limit:
-            starts -= 1
-            size += len(rows[starts]) + 1
-    return "\n".join(rows[starts:ends]).strip() + (" …" if len(joined) > size else "")
-
-
-_KEYWORD = re.compile(r"\b(?:" + "|".join(KEYWORDS) + r")\b", re.I)
-_ELEMENTS = re.compile(r"\s*(?:[a-z]\.)?\s*Elements?\.?\s*", re.I)
-_INLINE_ELEMENTS = re.compile(r"\bElements?\.", re.I)
+_KEYWORD = r"(?i)\b(?:" + "|".join(KEYWORDS) + r")\b"
+# Lines that open the elements of an offence, alone or inside a short line.
+_ELEMENTS = rf"(?i)^{WS}*(?:[a-z]\.)?{WS}*Elements?\.?{WS}*$"
+_INLINE_ELEMENTS = r"(?i)\bElements?\."
 
 
 def excerpt(c: Column, artifact: str = ARTIFACT_A, limit: int = 700, elements_first: bool = False) -> Column:
-    """The most telling lines of a text, at most ``limit`` characters.
+    """The most telling run of lines of a text, at most ``limit`` characters unless its first line alone is longer.
 
-    The window starts at the line with most keywords (with ``elements_first`` at the first line that opens the
-    elements, if any), grows forward while lines fit, and backward if it is less than half full. The window's
-    growth is a loop over lines, so it runs over Arrow batches in Python. Null stays null.
+    Blank and artifact lines don't count. The run opens at the first of the lines with most keywords (with
+    ``elements_first`` at the first line that opens the elements, if any) and takes all lines behind it that fit; if
+    that fills less than half the limit, it takes the lines before that fit, too. All of it is read off the running
+    sum of line lengths. A text without lines gives its first characters; null stays null.
     """
-    pattern = re.compile(artifact.replace(WS, r"\s"))
+    lines = F.filter(F.split(c, "\n", -1), lambda s: (strip(s) != "") & ~s.rlike(f"^(?:{artifact})$"))
+
+    def measured(lines: Column) -> Column:
+        """upto[i] is the length of the lines before line i, counted from 1; a line's length has its line feed."""
+        upto = F.aggregate(lines, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s) + 1)))
+        return _let(F.struct(lines.alias("lines"), upto.alias("upto")), lambda r: F.when(F.size(lines) == 0, F.left(c, F.lit(limit))).when(F.element_at(r["upto"], -1) - 1 <= limit, F.array_join(lines, "\n")).otherwise(opened(r)))
+
+    def opened(r: Column) -> Column:
+        found = F.transform(r["lines"], lambda s: F.size(F.regexp_extract_all(s, F.lit(_KEYWORD), F.lit(0))))
+        opening = _let(found, lambda n: F.array_position(n, F.array_max(n)))
+        if elements_first:
+            first = F.array_position(F.transform(r["lines"], lambda s: s.rlike(_ELEMENTS) | (F.length(s) < 80) & s.rlike(_INLINE_ELEMENTS)), True)
+            opening = _let(first, lambda at: F.when(at > 0, at).otherwise(opening))
+        return _let(opening.cast("int"), lambda at: _let(F.element_at(r["upto"], at), lambda start: forward(r, at, start)))
+
+    def forward(r: Column, at: Column, start: Column) -> Column:
+        after = F.greatest(at + 1, F.size(F.filter(r["upto"], lambda n: n <= start + limit)))
+        return _let(after, lambda after: _let(F.element_at(r["upto"], after), lambda stop: backward(r, at, start, after, stop)))
+
+    def backward(r: Column, at: Column, start: Column, after: Column, stop: Column) -> Column:
+        before = F.when(stop - start < limit // 2, F.size(F.filter(r["upto"], lambda n: n < stop - limit)) + 1).otherwise(at)
+        rest = lambda b: F.when(F.element_at(r["upto"], -1) - 1 > stop - F.element_at(r["upto"], b), " …").otherwise("")
+        return _let(before, lambda b: F.concat(strip(F.array_join(F.slice(r["lines"], b, after - b), "\n")), rest(b)))
+
+    return F.when(c.isNotNull(), _let(lines, measured))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else window_of_lines(t, pattern, limit, elements_first))
 
-    return run(c)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)

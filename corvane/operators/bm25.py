@@ -18,8 +18,6 @@ from corvane.functions.text import tokens
 from corvane.storage import in_blocks, written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Query terms that may be sent to every executor; with more, the join is shuffled.
-BROADCAST_TERMS = 1_000_000
 #: Bytes of a matrix of query terms by queries that are sent to every executor at once, and of one of term counts.
 MATRIX_BYTES = 64 << 20
 #: Queries whose terms are fetched at once.
@@ -49,9 +47,14 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.NAMES))
 
 
+def documents(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, terms), each id once; texts are cut into terms before they are shuffled. A null text has no terms."""
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms")).dropDuplicates(["chunk_id"])
+
+
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
-    """The index of all rows; ids must be unique. A null text has no terms and length 0."""
-    docs = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    """The index of all chunks; deliveries of an id agree and count once. A null text has no terms and length 0."""
+    docs = documents(chunks, id_col, text_col)
     doc_len = docs.select("chunk_id", F.size("terms").alias("len"))
     postings = docs.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"))
     stats = doc_len.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
@@ -86,11 +89,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) with positive scores, rounded to six digits so that sums in any order rank alike."""
+    """(query_id, chunk_id, score) with positive scores, rounded to six digits so that sums in any order rank alike.
+
+    How the joins run is left to Spark's size rules.
+    """
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted, terms = F.broadcast(wanted), F.broadcast(terms)
     hits = index.postings.join(wanted, "term").join(index.doc_len, "chunk_id").crossJoin(F.broadcast(index.stats))
     idf = index.term_idf.join(wanted, "term").select("term", "idf")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
@@ -111,7 +115,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     matrices, tf weights by query terms, and each block passes on its best k of each query, ties at the cut
     included. The queries' terms go to the executors, in blocks of queries of a checked size.
     """
-    docs = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    docs = documents(chunks, id_col, text_col)
     counts = term_counts(docs)
     n, avgdl = counts.where("term = ''").select("df", F.col("len") / F.col("df")).first() or (0, None)
     stats = queries.sparkSession.createDataFrame([(n,)], "n bigint")

@@ -69,7 +69,7 @@ def exhibit(text: Column) -> Column:
     """A page that mentions an exhibit, has no section heading, and fewer than 400 words."""
     from corvane.functions.text import words
 
-    return text.rlike(r"(?i)\bEXHIBIT\b|Exhibit\s+[(\d]") & ~text.rlike(r"(?m)^[A-Z]\.\s{2,}[A-Z]") & (F.size(words(text)) < 400)
+    return text.rlike(r"(?i)\bEXHIBIT\b|Exhibit\s+[(\d]") & ~text.rlike(r"(?dm)^[A-Z]\.\s{2,}[A-Z]") & (F.size(words(text)) < 400)
 
 
 def offsets(pages: DataFrame) -> DataFrame:
@@ -100,7 +100,8 @@ def lines(pages: DataFrame) -> DataFrame:
 
 def headings(line_table: DataFrame, rule: Heading) -> DataFrame:
     """(doc, chapter, key, title, pos, page_start) of the headings that count."""
-    heads = line_table.where(F.col("line").rlike(rule.pattern)).select(*_CHAPTER, "page_num", "pos", "line", F.regexp_extract("line", rule.pattern, 1).alias("key"), strip(F.regexp_extract("line", rule.pattern, 2)).alias("title"))
+    pattern = f"(?d){rule.pattern}"  # a line ends at a line feed only
+    heads = line_table.where(F.col("line").rlike(pattern)).select(*_CHAPTER, "page_num", "pos", "line", F.regexp_extract("line", pattern, 1).alias("key"), strip(F.regexp_extract("line", pattern, 2)).alias("title"))
     if rule.least is not None:
         heads = heads.where(F.regexp_replace("key", "[^0-9]", "").cast("int") >= rule.least)
     if rule.own:

@@ -34,6 +34,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "bench_questions").withColumnRenamed("id", "query_id")
 
 
+def _per_chunk(spark: SparkSession, d: str, *columns: str | F.Column) -> DataFrame:
+    """Columns made from each chunk's row, then each chunk_id once: texts themselves aren't shuffled."""
+    return once(table(spark, d, "chunks").select("chunk_id", *columns))
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return segment.clean_pages(table(spark, d, "source_pages"))
 
@@ -48,24 +53,24 @@ def _with(*ctes: str) -> str:
 @query(_with(Q.CHUNKS) + f"SELECT chunk_id, {Q.estimate('text')} AS tokens, {Q.estimate('text')} IS DISTINCT FROM token_estimate AS stale FROM ch")
 def t14_token_estimate(spark, d):
     e = T.token_estimate(F.col("text"))
-    return _chunks(spark, d).select("chunk_id", e.alias("tokens"), (~e.eqNullSafe(F.col("token_estimate"))).alias("stale"))
+    return _per_chunk(spark, d, e.alias("tokens"), (~e.eqNullSafe(F.col("token_estimate"))).alias("stale"))
 
 
 @query(_with(Q.CHUNKS) + f"SELECT chunk_id, len({Q.tokens('text')}) AS n_terms, array_to_string({Q.tokens('text')}, ' ') AS terms FROM ch WHERE text IS NOT NULL")
 def t15_tokens(spark, d):
     t = T.tokens(F.col("text"))
-    return _chunks(spark, d).where("text is not null").select("chunk_id", F.size(t).alias("n_terms"), F.array_join(t, " ").alias("terms"))
+    return once(table(spark, d, "chunks").where("text is not null").select("chunk_id", F.size(t).alias("n_terms"), F.array_join(t, " ").alias("terms")))
 
 
 @query(_with(Q.CHUNKS) + "SELECT chunk_id, left(md5(text), 8) AS hash, left(md5(text), 8) IS DISTINCT FROM content_hash AS stale FROM ch")
 def t20_content_hash(spark, d):
     h = T.content_hash(F.col("text"))
-    return _chunks(spark, d).select("chunk_id", h.alias("hash"), (~h.eqNullSafe(F.col("content_hash"))).alias("stale"))
+    return _per_chunk(spark, d, h.alias("hash"), (~h.eqNullSafe(F.col("content_hash"))).alias("stale"))
 
 
 @query(_with(Q.CHUNKS) + "SELECT chunk_id, trim(lower(ltrim(coalesce(article_number, ''), '0'))) AS article, CASE WHEN length(chapter_number) >= 2 THEN chapter_number ELSE lpad(chapter_number, 2, '0') END AS chapter FROM ch")
 def t21_padded_ids(spark, d):
-    return _chunks(spark, d).select("chunk_id", retrieval.article_key(F.col("article_number")).alias("article"), T.zero_pad(F.col("chapter_number"), 2).alias("chapter"))
+    return _per_chunk(spark, d, retrieval.article_key(F.col("article_number")).alias("article"), T.zero_pad(F.col("chapter_number"), 2).alias("chapter"))
 
 
 _HEADER_SQL = "CASE WHEN doc LIKE 'dcm%' THEN 'DCH\\s+\\d{4}' ELSE 'HGINST\\s+M?\\d{4}\\.\\d[A-Z]?' END"
@@ -85,7 +90,28 @@ def t1_t2_t3_clean_pages(spark, d):
     return table(spark, d, "source_pages").select("doc", "page_num", T.clean_page(F.col("text"), _header()).alias("text"))
 
 
-@query(None)
+def _mend_sql(c: str) -> str:
+    """Without lookbehind a step captures the character before; a step whose match may end with it is taken twice."""
+    steps = (
+        (r"(\d{1,2})-\n(\d{1,3})\n", "\n", 1),
+        (r"(?m)(?:^|\n)\d{1,2}-\d{1,3}(?:\n|$)", "\n", 1),
+        (r"(?m)[^\S\n]+$", "", 1),
+        (r"([A-Za-z])\n ([a-z])", r"\1 \2", 2),
+        (r"(\s)([b-hj-z])\n([a-z])", r"\1\2\3", 1),
+        (r"([\s.(\[])([A-Z])\n([a-z])", r"\1\2\3", 1),
+        (r"\n([a-z])\n", r"\1", 1),
+        (r"([\s.)])([A-Z]) ([a-z]{2,})", r"\1\2\3", 1),
+        (r"([a-zA-Z]) \.", r"\1.", 1),
+        (r"\n{2,}", "\n", 1),
+        (r"  +", " ", 1),
+    )
+    for pattern, by, times in steps:
+        for _ in range(times):
+            c = Q.replace(c, pattern, by)
+    return c
+
+
+@query(f"SELECT doc, page_num, {_mend_sql('text')} AS text FROM source_pages")
 def t4_mended_words(spark, d):
     return table(spark, d, "source_pages").select("doc", "page_num", T.mend_split_words(F.col("text")).alias("text"))
 
@@ -114,9 +140,20 @@ def t7_wrapped_headings(spark, d):
     return rows.where(hit).select("doc", "page_num", "line_no", F.concat("line", F.lit(" "), F.trim("nxt")).alias("heading"))
 
 
-@query(None)
+def _section_title_sql(c: str) -> str:
+    c = Q.replace(Q.strip(c), r"\s*\n\s*", " ")
+    c = Q.replace(Q.replace(c, r"-([A-Z]) ([A-Z])", r"-\1\2"), r"([A-Z]{2,}) ([B-HJ-Z]) ([A-Z]{2,})", r"\1\2 \3")
+    s = f"string_split({Q.replace(c, r'\s*\.$', '')}, '')"
+    c = f"array_to_string(list_transform({s}, lambda x, i: CASE WHEN i > 1 AND regexp_full_match({s}[i - 1], '\\p{{L}}') THEN lower(x) ELSE upper(x) END), '')"
+    kept = "As|Or|Of|At|To|In|An|By|My|Is|If|On|Up|Do|So|No|He|We|Be|It|Am|Us|Me|Vs|Re|Ex"
+    c = Q.replace(Q.replace(c, rf"\b({kept}) ", "\\1\x03"), r"\b([A-Z][a-z]) ([A-Z])([a-z]+)", "\\1\x01\\2\x02\\3")
+    parts = f"string_split(replace({c}, chr(3), ' '), chr(1))"
+    return Q.strip(f"array_to_string(list_transform({parts}, lambda p: CASE WHEN contains(p, chr(2)) THEN lower(left(p, 1)) || replace(substr(p, 2), chr(2), '') ELSE p END), '')")
+
+
+@query(_with(Q.CHUNKS) + f"SELECT chunk_id, {_section_title_sql('upper(section_title)')} AS title FROM ch WHERE section_title IS NOT NULL")
 def t8_section_titles(spark, d):
-    return _chunks(spark, d).where("section_title is not null").select("chunk_id", T.section_title(F.upper("section_title")).alias("title"))
+    return once(table(spark, d, "chunks").where("section_title is not null").select("chunk_id", T.section_title(F.upper("section_title")).alias("title")))
 
 
 @query(
@@ -125,7 +162,7 @@ def t8_section_titles(spark, d):
 length(regexp_extract(substr(left(text, 200), 6), '^([\\s\\S]*?)\\.(?:\\s|$)', 1)) + CASE WHEN regexp_matches(substr(left(text, 200), 6), '\\.(?:\\s|$)') THEN 1 ELSE -9999 END AS p FROM ch WHERE text IS NOT NULL)"""
 )
 def t9_first_sentence(spark, d):
-    return _chunks(spark, d).where("text is not null").select("chunk_id", T.first_sentence(F.left("text", F.lit(200))).alias("title"))
+    return once(table(spark, d, "chunks").where("text is not null").select("chunk_id", T.first_sentence(F.left("text", F.lit(200))).alias("title")))
 
 
 @query(
@@ -134,23 +171,23 @@ def t9_first_sentence(spark, d):
 )
 def t9_whole_first_sentence(spark, d):
     """The first sentence of the whole text, however long it is."""
-    return _chunks(spark, d).where("text is not null").select("chunk_id", T.first_sentence(F.col("text")).alias("title"))
+    return once(table(spark, d, "chunks").where("text is not null").select("chunk_id", T.first_sentence(F.col("text")).alias("title")))
 
 
 @query(_with(Q.CHUNKS) + f"SELECT chunk_id, {Q.clean('text', T.ARTIFACT_A)} AS text_a, {Q.clean('text', T.ARTIFACT_B)} AS text_b FROM ch")
 def t10_clean_text(spark, d):
-    return _chunks(spark, d).select("chunk_id", T.clean_text(F.col("text"), T.ARTIFACT_A).alias("text_a"), T.clean_text(F.col("text"), T.ARTIFACT_B).alias("text_b"))
+    return _per_chunk(spark, d, T.clean_text(F.col("text"), T.ARTIFACT_A).alias("text_a"), T.clean_text(F.col("text"), T.ARTIFACT_B).alias("text_b"))
 
 
 @query(_with(Q.CHUNKS) + f"SELECT chunk_id, {Q.strip(Q.keep_lines(Q.join_hyphens('text'), T.WS + '*'))} AS text FROM ch")
 def t11_compact_text(spark, d):
-    return _chunks(spark, d).select("chunk_id", T.compact_text(F.col("text")).alias("text"))
+    return _per_chunk(spark, d, T.compact_text(F.col("text")).alias("text"))
 
 
 @query(_with(Q.CHUNKS) + "SELECT chunk_id, " + Q.replace(Q.replace("text || chr(10) || chr(10) || '[…]' || chr(10) || chr(10) || '<<<PAGE:7>>>'", r"\n\n\[(?:…|\.{2,})\]\n\n", "\n\n"), r"<<<PAGE:\d+>>>", "") + " AS text FROM ch")
 def t12_t13_marks(spark, d):
     marked = F.concat("text", F.lit("\n\n[…]\n\n<<<PAGE:7>>>"))
-    return _chunks(spark, d).select("chunk_id", T.drop_page_marks(T.drop_overlap_marks(marked)).alias("text"))
+    return _per_chunk(spark, d, T.drop_page_marks(T.drop_overlap_marks(marked)).alias("text"))
 
 
 @query(
@@ -161,18 +198,32 @@ WHEN regexp_matches(s, '(?i)^\\((?:i{{1,3}}|iv|vi{{0,3}}|ix|xi{{0,3}})\\)\\s') T
 FROM (SELECT chunk_id, i, {Q.strip("line")} AS s FROM (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ch WHERE text IS NOT NULL)))) GROUP BY chunk_id"""
 )
 def t16_outline(spark, d):
-    return _chunks(spark, d).where("text is not null").select("chunk_id", T.outline(F.col("text")).alias("text"))
+    return once(table(spark, d, "chunks").where("text is not null").select("chunk_id", T.outline(F.col("text")).alias("text")))
 
 
-@query(None)
+def _excerpt_sql(name: str, artifact: str, limit: int, elements_first: bool) -> str:
+    """CTEs ending in <name>(chunk_id, excerpt): a row for each line, and windows over them."""
+    n, keyword = name, "(?i)\\b(?:" + "|".join(T.KEYWORDS) + ")\\b"
+    opens = r"(regexp_full_match(line, '(?i)\s*(?:[a-z]\.)?\s*Elements?\.?\s*') OR length(line) < 80 AND regexp_matches(line, '(?i)\bElements?\.'))" if elements_first else "false"
+    return f"""{n}_0 AS (SELECT chunk_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM ch WHERE text IS NOT NULL),
+{n}_1 AS (SELECT *, row_number() OVER w AS i, sum(length(line) + 1) OVER w AS upto, len(regexp_extract_all(line, {Q.quote(keyword)})) AS hits, {opens} AS opens FROM {n}_0 WHERE {Q.strip("line")} <> '' AND NOT regexp_full_match(line, {Q.quote(artifact)}) WINDOW w AS (PARTITION BY chunk_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+{n}_2 AS (SELECT chunk_id, coalesce(min(i) FILTER (opens), min(i) FILTER (hits = top)) AS o, max(upto) - 1 AS whole FROM (SELECT *, max(hits) OVER (PARTITION BY chunk_id) AS top FROM {n}_1) GROUP BY chunk_id),
+{n}_3 AS (SELECT chunk_id, any_value(o) AS o, any_value(whole) AS whole, max(upto - length(line) - 1) FILTER (i = o) AS start FROM {n}_1 JOIN {n}_2 USING (chunk_id) GROUP BY chunk_id),
+{n}_4 AS (SELECT chunk_id, any_value(o) AS o, any_value(whole) AS whole, any_value(start) AS start, max(upto) FILTER (i = o OR i > o AND upto <= start + {limit}) AS stop FROM {n}_1 JOIN {n}_3 USING (chunk_id) GROUP BY chunk_id),
+{n}_5 AS (SELECT chunk_id, any_value(whole) AS whole, string_agg(line, chr(10) ORDER BY i) AS lines, string_agg(line, chr(10) ORDER BY i) FILTER (upto <= stop AND (i >= o OR stop - start < {limit // 2} AND stop - (upto - length(line) - 1) <= {limit})) AS kept,
+  sum(length(line) + 1) FILTER (upto <= stop AND (i >= o OR stop - start < {limit // 2} AND stop - (upto - length(line) - 1) <= {limit})) AS size FROM {n}_1 JOIN {n}_4 USING (chunk_id) GROUP BY chunk_id),
+{n} AS (SELECT ch.chunk_id, CASE WHEN x.chunk_id IS NULL THEN left(text, {limit}) WHEN whole <= {limit} THEN lines ELSE {Q.strip("kept")} || CASE WHEN whole > size THEN ' …' ELSE '' END END AS excerpt FROM ch LEFT JOIN {n}_5 x USING (chunk_id) WHERE text IS NOT NULL)"""
+
+
+@query(_with(Q.CHUNKS, _excerpt_sql("ea", T.ARTIFACT_A, 700, False), _excerpt_sql("eb", T.ARTIFACT_B, 800, True)) + "SELECT chunk_id, ea.excerpt, eb.excerpt AS elements_excerpt FROM ea JOIN eb USING (chunk_id)")
 def t17_t18_excerpts(spark, d):
     c = F.col("text")
-    return _chunks(spark, d).where("text is not null").select("chunk_id", T.excerpt(c).alias("excerpt"), T.excerpt(c, T.ARTIFACT_B, 800, True).alias("elements_excerpt"))
+    return once(table(spark, d, "chunks").where("text is not null").select("chunk_id", T.excerpt(c).alias("excerpt"), T.excerpt(c, T.ARTIFACT_B, 800, True).alias("elements_excerpt")))
 
 
 @query(_with(Q.CHUNKS) + "SELECT chunk_id, " + ", ".join(f"CASE WHEN length(text) > {n} THEN left(text, {n}) || '…' ELSE text END AS text_{n}" for n in (600, 1200, 2800)) + " FROM ch")
 def t19_truncations(spark, d):
-    return _chunks(spark, d).select("chunk_id", *[T.truncate(F.col("text"), n).alias(f"text_{n}") for n in (600, 1200, 2800)])
+    return _per_chunk(spark, d, *[T.truncate(F.col("text"), n).alias(f"text_{n}") for n in (600, 1200, 2800)])
 
 
 # ------------------------------------------------------------------ sources and segmentation
@@ -281,12 +332,12 @@ def c15_overlap(spark, d):
 
 @query(_with(Q.CHUNKS) + f"SELECT chunk_id FROM ch WHERE {Q.estimate('text')} < 20")
 def c17_small_chunks(spark, d):
-    return _chunks(spark, d).where(T.token_estimate(F.col("text")) < 20).select("chunk_id")
+    return once(table(spark, d, "chunks").where(T.token_estimate(F.col("text")) < 20).select("chunk_id"))
 
 
 @query(_with(Q.CHUNKS) + "SELECT source, count(*) AS n_chunks, min(token_estimate) AS min_tokens, floor(avg(token_estimate))::BIGINT AS avg_tokens, max(token_estimate) AS max_tokens FROM ch GROUP BY source")
 def c19_chunk_statistics(spark, d):
-    return chunking.statistics(_chunks(spark, d))
+    return chunking.statistics(_per_chunk(spark, d, "source", "token_estimate"))
 
 
 @query(_with(Q.CHUNKS) + "SELECT source, chunk_id FROM (SELECT source, chunk_id, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS n, count(*) OVER (PARTITION BY source) AS c FROM ch) WHERE n = c // 2 + 1")
@@ -312,7 +363,7 @@ def c20_article_order(spark, d):
 )
 def i1_embedding_text(spark, d):
     c = F.col
-    return _chunks(spark, d).select("chunk_id", dense.embedding_text(c("heading_path"), c("chapter_title"), c("section_title"), c("article_title"), c("text")).alias("embedding_text"))
+    return _per_chunk(spark, d, dense.embedding_text(c("heading_path"), c("chapter_title"), c("section_title"), c("article_title"), c("text")).alias("embedding_text"))
 
 
 @query("SELECT count(*) AS n_vectors, count(*) FILTER (abs(n - 1) > 1e-4) AS n_off, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
@@ -325,23 +376,23 @@ def i2_norm_audit(spark, d):
     + "SELECT chunk_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)), 6) AS value FROM b"
 )
 def i2_text_vectors(spark, d):
-    v = dense.embed(_chunks(spark, d), "chunk_id", F.col("text"))
+    v = once(dense.embed(table(spark, d, "chunks"), "chunk_id", F.col("text")))
     return v.select("chunk_id", F.posexplode("vector").alias("bucket", "value")).where("value > 0").select("chunk_id", "bucket", F.round("value", 6).alias("value"))
 
 
 @query(_with(Q.CHUNKS, Q.bm25()) + "SELECT term, df, round(idf, 9) AS idf FROM ti")
 def i4_term_weights(spark, d):
-    return bm25.build(_chunks(spark, d)).term_idf.select("term", "df", F.round("idf", 9).alias("idf"))
+    return bm25.build(table(spark, d, "chunks")).term_idf.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(_with(Q.CHUNKS, Q.bm25()) + "SELECT term, chunk_id, tf FROM post")
 def i4_postings(spark, d):
-    return bm25.build(_chunks(spark, d)).postings.select("term", "chunk_id", F.col("tf").cast("bigint").alias("tf"))
+    return bm25.build(table(spark, d, "chunks")).postings.select("term", "chunk_id", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query(_with(Q.CHUNKS, Q.bm25()) + "SELECT n, round(avgdl, 9) AS avgdl FROM st")
 def i4_corpus_statistics(spark, d):
-    return bm25.build(_chunks(spark, d)).stats.select("n", F.round("avgdl", 9).alias("avgdl"))
+    return bm25.build(table(spark, d, "chunks")).stats.select("n", F.round("avgdl", 9).alias("avgdl"))
 
 
 # ------------------------------------------------------------------ retrieval
@@ -350,11 +401,11 @@ def i4_corpus_statistics(spark, d):
 def _bm25(spark, d, k: int, expanded: bool = True) -> DataFrame:
     q = _questions(spark, d)
     text = retrieval.expand(F.col("query")) if expanded else F.col("query")
-    return bm25.search(_chunks(spark, d), q.select("query_id", text.alias("query")), k)
+    return bm25.search(table(spark, d, "chunks"), q.select("query_id", text.alias("query")), k)
 
 
 def _dense(spark, d, k: int) -> DataFrame:
-    vectors = dense.embed(_chunks(spark, d), "chunk_id", F.col("text"))
+    vectors = once(dense.embed(table(spark, d, "chunks"), "chunk_id", F.col("text")))
     return dense.search(vectors, dense.embed(_questions(spark, d), "query_id", F.col("query")), k)
 
 
@@ -385,7 +436,7 @@ def r3_dense_topk(spark, d):
 def r4_index_scoring(spark, d):
     """The same ranking from the index tables, as a stored index is searched."""
     q = _questions(spark, d).select("query_id", "query")
-    return bm25.top_k(bm25.scores(bm25.build(_chunks(spark, d)), q), K)
+    return bm25.top_k(bm25.scores(bm25.build(table(spark, d, "chunks")), q), K)
 
 
 @query(_with(Q.CHUNKS, Q.bm25(Q.expand("query"), 200)) + "SELECT * FROM bm25")

@@ -14,22 +14,22 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (base or tempfile.mkdtemp(prefix="corvane-")).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: it is computed once and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/corvane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """``df`` as a Parquet table in the shared folder, read back: it is computed once and survives lost executors.
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partitioned by ``keys`` into as many partitions as a shuffle has, whatever the size of a row says.
-
-    For rows that are small but costly, which adaptive execution would put into few tasks.
+    The table is deleted when the application ends.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_blocks(queries: DataFrame, key: str, rows: int) -> Iterator[DataFrame]:
