@@ -67,6 +67,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text back from its ids; null and empty texts come back as ''."""
+    return encoding.decode_corpus(p7_ids(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id")
 
@@ -87,7 +92,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p8_found, p8_spans, p9_found, p9_levels)
+        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
     }
 
 
@@ -124,4 +129,4 @@ SELECT chunk_id, piece_no, s AS start_pos, e AS end_pos FROM cut"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p5_found": _p5_sql()}
+    return {"p4_found": _p4_sql(), "p5_found": _p5_sql(), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

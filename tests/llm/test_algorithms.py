@@ -35,21 +35,28 @@ def test_cuts_equal_naive(seed):
 def _encode():
     pytest.importorskip("tiktoken")
     try:
-        return encoding.encoder(encoding.TOKENIZERS, "byte_bpe_50k")
+        return encoding.coder(encoding.TOKENIZERS, "byte_bpe_50k")
     except FileNotFoundError:
         pytest.skip("no vocabulary files")
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_tree_equals_whole(seed):
-    enc = _encode()
+    coder = _encode()
     rng = random.Random(seed)
     bits = ["a", "b ", "  ", "\n", " \n ", "'s", "'", "re", "9", "é", "\t", "...", "　", "漢", "日本語", "x" * 50, "\x1c", "-", " "]
     for _ in range(150):
         t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 300)))
-        ids = encoding.encode_tree(t, enc.encode_ordinary, leaf=rng.choice([3, 17, 64]))
-        assert ids == enc.encode_ordinary(t)
-        assert enc.decode(ids) == t
+        ids = encoding.encode_tree(t, coder, leaf=rng.choice([3, 17, 64]), reach=rng.choice([1, 4, 32]))
+        assert ids == coder.encode(t)
+        assert encoding.decode_tree(ids, coder, leaf=rng.choice([1, 5, 64])) == t
+
+
+@pytest.mark.parametrize("text", ["word " * 3000, "x" * 5000, "漢字" * 2000, " " * 3000, "a1'll\n" * 900, "'" * 600 + "s" * 600, "\u00a0é \t" * 700, "\x1c \x1cq" * 500])
+def test_tree_with_the_usual_leaf(text):
+    coder = _encode()
+    ids = encoding.encode_tree(text, coder)
+    assert ids == coder.encode(text) and encoding.decode_tree(ids, coder) == text
 
 
 @pytest.mark.parametrize("seed", range(5))

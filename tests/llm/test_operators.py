@@ -39,11 +39,15 @@ def test_encode(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "a b " * 9000)], "doc_id bigint, text string")
     pytest.importorskip("tiktoken")
     try:
-        enc = encoding.encoder(encoding.TOKENIZERS, "byte_bpe_50k")
+        encode = encoding.coder(encoding.TOKENIZERS, "byte_bpe_50k").encode
     except FileNotFoundError:
         pytest.skip("no vocabulary files")
     rows = {r.doc_id: r.ids for r in encoding.encode_corpus(df).collect()}
-    assert rows[2] == [] and rows[3] == [] and rows[1] == enc.encode_ordinary("Hello world") and rows[4] == enc.encode_ordinary("a b " * 9000)
+    assert rows[2] == [] and rows[3] == [] and rows[1] == encode("Hello world") and rows[4] == encode("a b " * 9000)
+    back = {r.doc_id: r.text for r in encoding.decode_corpus(encoding.encode_corpus(df)).collect()}
+    assert back == {1: "Hello world", 2: "", 3: "", 4: "a b " * 9000}
+    none = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
+    assert found(encoding.decode_corpus(none)) == [(1, None)]
 
 
 def test_leaks(spark):
