@@ -47,6 +47,10 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.forms(table(spark, sf_dir, "chunks"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.alike_classes(table(spark, sf_dir, "chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "chunks"))
 
@@ -92,25 +96,38 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p4_found, p4_forms, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
+        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p4_found, p4_forms, p4_classes, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
     }
 
 
-def _p4_sql() -> str:
-    """Pairs by a form that is made with a character table and Unicode composition."""
-    alike = lookalikes.ALIKE
+# Letters of the Cyrillic and Greek scripts that are printed with the shapes of Latin ones, written down apart from the operator's.
+_CYRILLIC = ("АВЕЅІЈКМНОРСТУХЅаеѕіјорсухһԁԛԝѵҮԌҺӀ", "ABESIJKMHOPCTYXSaesijopcyxhdqwvYGhI")
+_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲ", "ABEZHIKMNOPTYXovc")
+
+
+def _form_sql() -> str:
+    """The form of a text that isn't empty: letters put in Latin ones, then Unicode composition."""
+    letters = dict(zip(_CYRILLIC[0] + _GREEK[0], _CYRILLIC[1] + _GREEK[1]))
     wide = {chr(n + 0xFEE0): chr(n) for n in range(0x21, 0x7F)}
     blanks = dict.fromkeys("\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " ")
-    table_ = alike | wide | blanks
+    table_ = letters | wide | blanks
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = f"translate(text, {quote(''.join(table_))}, {quote(''.join(table_.values()))})"
-    for joined, letters in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb05", "st"), ("\ufb06", "st")):
-        form = f"replace({form}, '{joined}', '{letters}')"
-    form = f"nfc_normalize(regexp_replace({form}, '[\\x{{ad}}\\x{{34f}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'))"
-    return f"""WITH f AS (SELECT DISTINCT chunk_id, text, md5({form}) AS form FROM chunks WHERE text <> '')
+    for joined, plain in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb05", "st"), ("\ufb06", "st")):
+        form = f"replace({form}, '{joined}', '{plain}')"
+    return f"nfc_normalize(regexp_replace({form}, '[\\x{{ad}}\\x{{34f}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{2064}}\\x{{feff}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'))"
+
+
+def _p4_sql() -> str:
+    return f"""WITH f AS (SELECT DISTINCT chunk_id, text, md5({_form_sql()}) AS form FROM chunks WHERE text <> '')
 SELECT DISTINCT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM f a JOIN f b ON a.form = b.form AND a.chunk_id < b.chunk_id AND a.text <> b.text"""
 
 
+def _p4_classes_sql() -> str:
+    return f"""WITH f AS (SELECT DISTINCT chunk_id, text, md5({_form_sql()}) AS form FROM chunks WHERE text <> '')
+SELECT f.chunk_id, f.form AS class_id, count(*) AS n_alike FROM f JOIN f g ON f.form = g.form AND f.text <> g.text GROUP BY ALL"""
+
+
 def _p5_sql() -> str:
     """The cuts one after the other, by recursion; a greedy pattern finds the last boundary of a piece."""
     seg = "substr(text, s + 1, 2400)"
@@ -129,4 +146,4 @@ SELECT chunk_id, piece_no, s AS start_pos, e AS end_pos FROM cut"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p5_found": _p5_sql(), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {"p4_found": _p4_sql(), "p4_classes": _p4_classes_sql(), "p5_found": _p5_sql(), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

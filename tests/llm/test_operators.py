@@ -74,10 +74,47 @@ def test_lookalikes(spark):
     assert not lookalikes.print_alikes(chunks(spark, rows).limit(0)).collect()
 
 
-def test_vocabulary_never_decides():
-    words = {"café", "report"}
-    for t in ("cаfé repоrt", "xеy"):
-        assert lookalikes.Canonical(words).text(t) == lookalikes.Canonical(set()).text(t)
+def test_vocabulary_decides_between_readings(spark):
+    looks = lookalikes.Looks.of(spark)
+    stroke = "\u04c0"  # prints like l, I and 1
+    assert lookalikes.Canonical([], looks).text(f"{stroke}aw in {stroke}t") == "Iaw in It"
+    assert lookalikes.Canonical(["law", "It"], looks).text(f"{stroke}aw in {stroke}t") == "law in It"
+    rows = [("a", f"the {stroke}aw says"), ("b", "the law says"), ("c", "the Iaw says")]
+    assert found(lookalikes.print_alikes(chunks(spark, rows))) == [("a", "c")]  # the table's reading is a word here, too
+    assert found(lookalikes.print_alikes(chunks(spark, rows[:2]))) == [("a", "b")] and not found(lookalikes.print_alikes(chunks(spark, rows[:2]), top=0))
+    assert looks.by_table("\U0001d401\u2163\u0455\uff21") == "BIVsA" and looks.by_table("\u00e9\u00df\u00f8") == "\u00e9\u00df\u00f8"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_automaton_equals_plain_edit_distance(seed):
+    rng = random.Random(seed)
+    looks, words = lookalikes.Looks({"\u0430": ("a", "o"), "\u0441": ("c",)}), sorted({"".join(rng.choice("abco") for _ in range(rng.randint(1, 5))) for _ in range(25)})
+    trie = lookalikes.Trie(words)
+
+    def distance(token, word):
+        row = list(range(len(word) + 1))
+        for c in token:
+            if c == "\u200b":
+                continue
+            new = [row[0] + 1]
+            for j, w in enumerate(word):
+                new.append(min(row[j] + (w not in looks.read(c)), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    for _ in range(150):
+        token, budget = "".join(rng.choice("abco\u0430\u0441\u200b") for _ in range(rng.randint(1, 6))), rng.randint(0, 2)
+        best = min(distance(token, w) for w in words)
+        got = trie.reach(token, looks, budget)
+        assert (got is None) == (best > budget) and (got is None or distance(token, got) == best)
+
+
+def test_lookalike_classes(spark):
+    rows = [("a", "c\u0430t"), ("b", "cat"), ("c", "cat"), ("d", "dog"), ("e", None), ("f", "c\u200bat"), ("b", "cat")]
+    got = {r.chunk_id: (r.class_id, r.n_alike) for r in lookalikes.alike_classes(chunks(spark, rows)).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {"a": 3, "b": 2, "c": 2, "f": 3} and len({c for c, _ in got.values()}) == 1
+    assert len(found(lookalikes.print_alikes(chunks(spark, rows)))) == sum(n for _, n in got.values()) // 2
+    assert not lookalikes.alike_classes(chunks(spark, rows).limit(0)).collect()
 
 
 def test_quality(spark):
