@@ -36,7 +36,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans.shared_amount(table(spark, sf_dir, "chunks"))
+    return shared_spans.shared_amount(table(spark, sf_dir, "chunks")).drop("intervals")
+
+
+def p3_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs to be taken out if no shared text is to stay, a row each."""
+    shared = shared_spans.shared_amount(table(spark, sf_dir, "chunks"))
+    return shared.select("chunk_id", F.inline("intervals").alias("start_pos", "end_pos"))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_classes(table(spark, sf_dir, "chunks"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +106,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p4_found, p4_forms, p4_classes, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
+        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p3_intervals, p3_classes, p4_found, p4_forms, p4_classes, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
     }
 
 
@@ -145,5 +155,25 @@ def _p5_sql() -> str:
 SELECT chunk_id, piece_no, s AS start_pos, e AS end_pos FROM cut"""
 
 
+#: Every window of 300 characters by a hash of DuckDB's, and those that two texts have.
+_WINDOWS = """c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE length(text) >= 300), t AS (SELECT DISTINCT text FROM c),
+w AS (SELECT text, i, hash(substr(text, i + 1, 300)) AS h FROM (SELECT text, unnest(range(length(text) - 299)) AS i FROM t)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT text) > 1), r AS (SELECT w.* FROM w JOIN again USING (h)),
+met AS (SELECT DISTINCT a.text AS x, b.text AS y FROM (SELECT DISTINCT text, h FROM r) a JOIN (SELECT DISTINCT text, h FROM r) b ON a.h = b.h AND a.text <> b.text UNION ALL SELECT text, text FROM c GROUP BY text HAVING count(*) > 1),
+pairs AS (SELECT DISTINCT a.chunk_id AS p, b.chunk_id AS q FROM met JOIN c a ON a.text = met.x JOIN c b ON b.text = met.y AND a.chunk_id <> b.chunk_id),
+spots AS (SELECT text, i AS s, i + 300 AS e FROM r UNION ALL SELECT text, 0, length(text) FROM c GROUP BY text HAVING count(*) > 1),
+marked AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY text ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM spots),
+runs AS (SELECT text, min(s)::BIGINT AS start_pos, max(e)::BIGINT AS end_pos FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY text ORDER BY s, e DESC ROWS UNBOUNDED PRECEDING) AS n FROM marked) GROUP BY text, n)"""
+
+
+def _p3_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"WITH {_WINDOWS} SELECT p AS chunk_a, q AS chunk_b FROM pairs WHERE p < q",
+        "p3_intervals": f"WITH {_WINDOWS} SELECT chunk_id, start_pos, end_pos FROM c JOIN runs USING (text)",
+        "p3_shared": f"""WITH {_WINDOWS} SELECT chunk_id, length(text) AS n_chars, (SELECT count(*) FROM pairs WHERE p = chunk_id) AS n_partners, shared_chars, shared_chars / length(text) AS shared_share
+FROM c JOIN (SELECT text, sum(end_pos - start_pos)::BIGINT AS shared_chars FROM runs GROUP BY text) USING (text)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _p4_sql(), "p4_classes": _p4_classes_sql(), "p5_found": _p5_sql(), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return _p3_sql() | {"p4_found": _p4_sql(), "p4_classes": _p4_classes_sql(), "p5_found": _p5_sql(), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -1,11 +1,16 @@
 """Problem 3: long spans that stand verbatim in more than one record.
 
-The tokens are code points. Rabin-Karp hashes of every window of ``gram`` tokens are made for all texts; of each
-``length - gram + 1`` windows in a row the least hash goes on to Spark, where equal hashes meet. A shared span of
-``length`` tokens holds that many windows in a row, and the least of them is the same wherever the span stands, so
-every span is met at least once. The texts of two that met are then compared in full: equal hashes of whole
-``length`` windows, confirmed character by character, merge into maximal intervals. Equal texts are one class
-throughout and are only expanded into their ids at the end.
+The tokens are code points. Rabin-Karp hashes of windows are counted in Spark, in two passes. The first finds where a
+window of ``length`` tokens may be repeated at all: of each ``length - gram + 1`` windows of ``gram`` tokens in a row, which
+is what a window of ``length`` holds, the least hash is the same wherever that window stands, so only these least
+ones are counted. A window of ``length`` whose least one stands in a single text can't be repeated. The second pass counts
+every other window of ``length``, each by 96 bits of two hashes. Windows that more than one text has are the
+repeated ones; those of a text that overlap or touch merge into its maximal intervals.
+
+The texts that share a window are a class; consecutive windows mostly have the same class, which is told from others
+by its size and two sums over its members, so each class is expanded once. All counts are combined before the shuffle,
+and a window in very many texts costs a row for each. Equal texts are one text throughout and are only expanded
+into their ids at the end.
 
 Null texts and texts shorter than ``length`` share nothing. An id delivered again with the same text counts once.
 """
@@ -14,19 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, cut_lineage, map_batches, written
+from corvane.llm.common import blocks, map_batches
 
 #: Code points that are hashed at once.
 BLOCK = 1 << 20
-#: Keys of texts that are sent to every executor at most (16 bytes each); with more, the texts are shuffled.
-BROADCAST_KEYS = 2_000_000
-
-#: Texts with one chosen window from which a group is hot: its members are paired by full windows only.
-HOT = 32
-
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -45,14 +44,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def window_hashes(code: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes, modulo 2**64, of all windows of ``width`` tokens, mixed at the end."""
+def window_hashes(code: np.ndarray, width: int, symbol: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
+    """Rabin-Karp hashes, modulo 2**64, of all windows of ``width`` tokens, mixed at the end; ``symbol`` picks the hash."""
     n = code.size
     if n < width:
         return np.zeros(0, dtype=np.uint64)
     up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    symbols = (code.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xBF58476D1CE4E5B9)
+    symbols = (code.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(symbol)
     symbols ^= symbols >> np.uint64(31)
     symbols *= up[:n]
     np.cumsum(symbols, out=total[1:])
@@ -98,144 +97,141 @@ def fingerprints(texts: list[str], length: int, gram: int) -> tuple[np.ndarray,
     return pairs[0].astype(np.int64), pairs[1].view(np.int64) if pairs.flags.c_contiguous else pairs[1].copy().view(np.int64)
 
 
-def shared_runs(a: str, b: str, length: int) -> list[tuple[int, int]]:
-    """Maximal [start, end) of ``a`` whose every ``length`` window stands in ``b`` too."""
-    ca, cb = code_points([a]), code_points([b])
-    ha, hb = window_hashes(ca, length), window_hashes(cb, length)
-    order = np.argsort(hb, kind="stable")
-    place = np.searchsorted(hb[order], ha)
-    place[place == hb.size] = 0
-    spot = order[place]
-    hit = np.flatnonzero(hb[spot] == ha)
-    out: list[tuple[int, int]] = []
-    for i, j in zip(hit.tolist(), spot[hit].tolist()):
-        if out and i <= out[-1][1] - length + 1 and ca[i + length - 1] == cb[j + length - 1]:
-            out[-1] = (out[-1][0], i + length)
-        elif np.array_equal(ca[i : i + length], cb[j : j + length]):
-            if out and i <= out[-1][1]:
-                out[-1] = (out[-1][0], i + length)
-            else:
-                out.append((i, i + length))
-    return out
-
-
-def _classes(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """(key, id, text): key names a text by two hashes."""
-    return df.where(F.char_length(text_col) >= length).select(F.struct(F.xxhash64(text_col).alias("x"), F.hash(text_col).alias("m")).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-
-def _met(classes: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """Pairs (a, b), a < b, of keys of different texts that have a chosen window in common.
-
-    A window of ``gram`` characters in more than ``hot`` texts may be a formula that is shorter than ``length``, and
-    pairing all its texts could give many pairs that share nothing long enough. So such texts are paired by the full
-    windows around it instead.
-    """
+def least_windows(code: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """By window of ``length``: the place of its least window of ``gram``, the first of equal ones."""
+    h = (window_hashes(code, gram) >> np.uint64(32)) << np.uint64(32)
+    n = length - gram + 1
+    best = _sliding(h | np.arange(h.size, dtype=np.uint64), n, np.minimum)
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def candidate_windows(code: np.ndarray, length: int, gram: int, repeated: np.ndarray) -> np.ndarray:
+    """Places of the windows of ``length`` whose least window of ``gram`` is among the ``repeated`` hashes."""
+    if code.size < length:
+        return np.zeros(0, dtype=np.int64)
+    again = np.isin(window_hashes(code, gram).view(np.int64), repeated)
+    return np.flatnonzero(again[least_windows(code, length, gram)])
+
+
+_SECOND = 0x94D049BB133111EB
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """(x, m, id, text): x and m are two hashes that name a text."""
+    return df.where(F.char_length(text_col) >= length).select(F.xxhash64(text_col).alias("x"), F.hash(text_col).alias("m"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def _suspects(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(x, m, text, hs) of each text with hs, its chosen windows that other texts have, too; a row for each text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
+        found = batch.column("text").to_pylist()
         rows, hashes = [], []
-        for a, b in blocks([len(t) for t in texts], BLOCK):
-            o, h = fingerprints(texts[a:b], length, gram)
+        for a, b in blocks([len(t) for t in found], BLOCK):
+            o, h = fingerprints(found[a:b], length, gram)
             rows.append(o + a)
             hashes.append(h)
         row = pa.array(np.concatenate(rows))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
 
-    prints = map_batches(classes.select("key.x", "key.m", "text"), run, "h bigint, x bigint, m int").select("h", F.struct("x", "m").alias("key"))
-    counted = written(prints.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1"))  # few windows stand more than once
-    cold = counted.where(F.col("c") <= hot)
-    pairs, rest = _paired(cold.select("h", "key")), counted.where(F.col("c") > hot)
-    if rest.isEmpty():  # no hot window, no text to look at again
-        return pairs
-    return pairs.unionByName(_paired(_full_windows(classes, rest, length, gram))).distinct()
+    prints = map_batches(texts.select("x", "m", "text"), run, "h bigint, x bigint, m int")
+    repeated = prints.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h")
+    mine = prints.join(repeated, "h").groupBy("x", "m").agg(F.collect_set("h").alias("hs"))  # a text's own windows at most
+    once = texts.select("x", "m", "text").join(mine.select("x", "m"), ["x", "m"], "left_semi").dropDuplicates(["x", "m"])
+    return once.join(mine, ["x", "m"])
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    a, b = rows.select("h", F.col("key").alias("a")), rows.select("h", F.col("key").alias("b"))
-    return a.join(b, "h").where("a < b").select("a", "b").distinct()
+def _windows(suspects: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
+    """(h, g, x, m[, at]) of the windows of ``length`` that may be repeated; without places a text has each once."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, first, second, at = [], [], [], []
+        for i, (text, hs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hs").to_pylist())):
+            code = code_points([text])
+            spots = candidate_windows(code, length, gram, np.array(hs, dtype=np.int64))
+            h, g = window_hashes(code, length)[spots].view(np.int64), (window_hashes(code, length, _SECOND)[spots] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            if not places:
+                h, keep = np.unique(h, return_index=True)
+                g, spots = g[keep], spots[keep]
+            rows.append(np.full(h.size, i))
+            first.append(h), second.append(g), at.append(spots.astype(np.int32))
+        row = pa.array(np.concatenate(rows).astype(np.int64))
+        cols = [pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), batch.column("x").take(row), batch.column("m").take(row)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(at))] if places else cols, names=["h", "g", "x", "m", *(["at"] if places else [])])
 
-def _full_windows(classes: DataFrame, hot: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, key) of the ``length`` windows around hot windows, one hash for each set of texts that share some.
+    return map_batches(suspects, run, "h bigint, g int, x bigint, m int" + (", at int" if places else ""))
 
-    Linear in the texts. Sets are told apart by the sum of their keys' hashes and their size, so a run of hundreds
-    of windows that the same texts share pairs them once.
-    """
-    mine = hot.groupBy("key").agg(F.collect_list("h").alias("hs"))  # at most a text's own windows
-    texts = classes.select("key", "text").join(mine.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(mine, "key")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, hashes = [], []
-        for i, (text, hs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hs").to_pylist())):
-            code = code_points([text])
-            small, full = window_hashes(code, gram).view(np.int64), window_hashes(code, length).view(np.int64)
-            near = np.zeros(full.size + 1, dtype=np.int64)
-            for p in np.flatnonzero(np.isin(small, hs)):
-                near[max(0, p - (length - gram))] += 1
-                near[min(full.size, p + 1)] -= 1
-            found = np.unique(full[np.cumsum(near)[:-1] > 0])
-            rows.append(np.full(found.size, i))
-            hashes.append(found)
-        row = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
+def _classes(windows: DataFrame) -> DataFrame:
+    """(h, g, size, s1, s2) of every window that more than one text has: the class of the texts that have it."""
+    counts = windows.groupBy("h", "g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("x", "m")).alias("s1"), F.bit_xor(F.xxhash64("m", "x")).alias("s2"))
+    return counts.where("size > 1")
+
+
+def _members(windows: DataFrame) -> DataFrame:
+    """(h, g, x, m): of the windows that have the same class one, with all its texts."""
+    one = _classes(windows).groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g")
+    return windows.join(one, ["h", "g"])
 
-    windows = map_batches(texts.select("key.x", "key.m", "text", "hs"), run, "h bigint, x bigint, m int").select("h", F.struct("x", "m").alias("key"))
-    sets = windows.groupBy("h").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("c > 1")
-    one = sets.groupBy("c", "members").agg(F.min("h").alias("h")).select("h")
-    return windows.join(one, "h", "left_semi").select("h", "key")
-
-
-def _verified(classes: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """(a, b, in_a, in_b): pairs of keys with their shared intervals."""
-    met = cut_lineage(_met(classes, length, gram, hot))
-    keys = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    if met.count() <= BROADCAST_KEYS // 2:
-        keys = F.broadcast(keys)
-    texts = classes.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"])
-    both = met.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep, in_a, in_b = [], [], []
-        for i, (ta, tb) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
-            runs = shared_runs(ta, tb, length)
-            if runs:
-                keep.append(i)
-                in_a.append([{"s": s, "e": e} for s, e in runs])
-                in_b.append([{"s": s, "e": e} for s, e in shared_runs(tb, ta, length)])
-        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        cols = [batch.column(c).take(pa.array(keep, pa.int32())) for c in ("ax", "am", "bx", "bm")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(in_a, kind), pa.array(in_b, kind)], names=["ax", "am", "bx", "bm", "in_a", "in_b"])
-
-    flat = both.select(F.col("a.x").alias("ax"), F.col("a.m").alias("am"), F.col("b.x").alias("bx"), F.col("b.m").alias("bm"), "text_a", "text_b")
-    runs = "array<struct<s: bigint, e: bigint>>"
-    found = map_batches(flat, run, f"ax bigint, am int, bx bigint, bm int, in_a {runs}, in_b {runs}")
-    return found.select(F.struct(F.col("ax").alias("x"), F.col("am").alias("m")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("bm").alias("m")).alias("b"), "in_a", "in_b")
-
-
-def sharing_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None, hot: int = HOT) -> DataFrame:
+
+def sharing_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
     """Pairs (chunk_a, chunk_b), a < b, of ids whose texts have a run of ``length`` characters in common."""
-    classes = _classes(df, id_col, text_col, length)
-    ids = classes.select("key", "id").distinct()
-    between = _verified(classes, length, gram or length // 2, hot).select("a", "b")
-    x = between.join(ids.select(F.col("key").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("ib")), "b").select("ia", "ib")
-    same = ids.select("key", F.col("id").alias("ia")).join(ids.select("key", F.col("id").alias("ib")), "key").where("ia < ib").select("ia", "ib")
-    pairs = x.unionByName(same).where("ia <> ib")
+    texts = _texts(df, id_col, text_col, length)
+    ids = texts.select("x", "m", "id").distinct()
+    members = _members(_windows(_suspects(texts, length, gram or length // 2), length, gram or length // 2, False))
+    a, b = members.select("h", "g", F.struct("x", "m").alias("a")), members.select("h", "g", F.struct("x", "m").alias("b"))
+    met = a.join(b, ["h", "g"]).where("a < b").select("a.x", "a.m", "b").distinct()
+    between = met.join(ids.withColumnRenamed("id", "ia"), ["x", "m"]).select("ia", "b.x", "b.m").join(ids.withColumnRenamed("id", "ib"), ["x", "m"]).select("ia", "ib")
+    same = ids.withColumnRenamed("id", "ia").join(ids.withColumnRenamed("id", "ib"), ["x", "m"]).where("ia < ib").select("ia", "ib")
+    pairs = between.unionByName(same).where("ia <> ib")
     return pairs.select(F.least("ia", "ib").alias("chunk_a"), F.greatest("ia", "ib").alias("chunk_b")).distinct()
 
 
-def shared_amount(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None, hot: int = HOT) -> DataFrame:
-    """(id, n_chars, n_partners, shared_chars, shared_share) of every id with a shared span; partners are ids."""
-    classes = _classes(df, id_col, text_col, length)
-    ids = classes.select("key", "id", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
-    copies = ids.groupBy("key").agg(F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"))
-    v = cut_lineage(_verified(classes, length, gram or length // 2, hot))
-    spans = v.select(F.col("a").alias("key"), F.col("b").alias("other"), F.explode("in_a").alias("r")).unionByName(v.select(F.col("b").alias("key"), F.col("a").alias("other"), F.explode("in_b").alias("r")))
-    partners = spans.select("key", "other").distinct().join(copies.select(F.col("key").alias("other"), "copies"), "other").groupBy("key").agg(F.sum("copies").alias("n"))
-    whole = copies.where("copies > 1").select("key", F.lit(0).cast("bigint").alias("s"), F.col("n_chars").alias("e"))
-    parts = spans.select("key", "r.s", "r.e").unionByName(whole)
-    before = Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    new = parts.withColumn("done", F.coalesce(F.max("e").over(before), F.lit(0)))
-    amount = new.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "done"))).alias("shared_chars"))
-    per_class = amount.join(copies, "key").join(partners, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_partners"), "shared_chars")
-    return ids.join(per_class, "key").select(F.col("id").alias(id_col), "n_chars", "n_partners", "shared_chars", (F.col("shared_chars") / F.col("n_chars")).alias("shared_share"))
+def shared_classes(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
+    """(class_id, id): every set of texts that have some window of ``length`` in common, once, with the ids of its texts.
+
+    Ids share a run of ``length`` characters if, and only if, they are in a class together. Equal texts that share
+    nothing with others are a class, too. The class id is a hash of its texts.
+    """
+    texts = _texts(df, id_col, text_col, length)
+    ids = texts.select("x", "m", "id").distinct()
+    windows = _windows(_suspects(texts, length, gram or length // 2), length, gram or length // 2, False)
+    named = _classes(windows).groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g", F.hex(F.xxhash64("size", "s1", "s2")).alias("class_id"))
+    of_many = windows.join(named, ["h", "g"]).join(ids, ["x", "m"]).select("class_id", "id")
+    copied = ids.groupBy("x", "m").agg(F.count("*").alias("copies")).where("copies > 1").select("x", "m", F.hex(F.xxhash64("x", "m")).alias("class_id"))
+    return of_many.unionByName(ids.join(copied, ["x", "m"]).select("class_id", "id")).withColumnRenamed("id", id_col).distinct()
+
+
+def shared_amount(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
+    """(id, n_chars, n_partners, shared_chars, shared_share, intervals) of every id with a shared span.
+
+    Partners are ids; intervals are the maximal runs of characters that repeated windows cover, as [start, end) in
+    order; a text with copies is shared as a whole.
+    """
+    texts = _texts(df, id_col, text_col, length)
+    ids = texts.select("x", "m", "id", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
+    copies = ids.groupBy("x", "m").agg(F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"))
+    suspects = _suspects(texts, length, gram or length // 2)
+    members = _members(_windows(suspects, length, gram or length // 2, False))
+    a, b = members.select("h", "g", "x", "m"), members.select("h", "g", F.col("x").alias("ox"), F.col("m").alias("om"))
+    others = a.join(b, ["h", "g"]).where("x <> ox or m <> om").select("x", "m", "ox", "om").distinct()
+    partners = others.join(copies.select(F.col("x").alias("ox"), F.col("m").alias("om"), "copies"), ["ox", "om"]).groupBy("x", "m").agg(F.sum("copies").alias("n"))
+    spots = _windows(suspects, length, gram or length // 2, True)
+    again = spots.groupBy("h", "g").agg(F.min(F.struct("x", "m")).alias("lo"), F.max(F.struct("x", "m")).alias("hi")).where("lo <> hi").select("h", "g")
+    runs = spots.join(again, ["h", "g"]).groupBy("x", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))  # a text's own places at most
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for at in batch.column("at").to_pylist():
+            p = np.array(at)
+            cut = np.flatnonzero(np.diff(p) > length) + 1
+            out.append([{"start": int(q[0]), "end": int(q[-1]) + length} for q in np.split(p, cut)])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("m"), pa.array(out, kind)], names=["x", "m", "intervals"])
+
+    parts = map_batches(runs, merge, "x bigint, m int, intervals array<struct<start: bigint, end: bigint>>")
+    per = copies.join(parts, ["x", "m"], "left").join(partners, ["x", "m"], "left").where("copies > 1 or intervals is not null")
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_chars").alias("end")))
+    per = per.select("x", "m", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_partners"), F.when(F.col("copies") > 1, whole).otherwise(F.col("intervals")).alias("intervals"))
+    shared = F.aggregate("intervals", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return ids.join(per, ["x", "m"]).select(F.col("id").alias(id_col), "n_chars", "n_partners", shared.alias("shared_chars"), (shared / F.col("n_chars")).alias("shared_share"), "intervals")

@@ -113,17 +113,16 @@ def test_seed_length_is_a_bound():
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_shared_runs_and_fingerprints(seed):
+def test_no_repeated_window_is_left_out(seed):
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abc ") for _ in range(n))
-    common = text(60)
+    common = text(40 + seed)
     a, b = text(100) + common + text(80), text(30) + common + text(120)
-    runs = shared_spans.shared_runs(a, b, 40)
-    want = {i for i in range(len(a) - 39) if a[i : i + 40] in b}
-    covered = {i for s, e in runs for i in range(s, e - 39)}
-    assert want <= covered and all(a[s : s + 40] in b and a[e - 40 : e] in b for s, e in runs)
     owner, h = shared_spans.fingerprints([a, b], 40, 20)
-    assert set(h[owner == 0].tolist()) & set(h[owner == 1].tolist())
+    both = np.intersect1d(h[owner == 0], h[owner == 1])
+    want = {i for i in range(len(a) - 39) if a[i : i + 40] in b}
+    assert len(want) >= 1 + seed and want <= set(shared_spans.candidate_windows(shared_spans.code_points([a]), 40, 20, both).tolist())
+    assert not shared_spans.candidate_windows(shared_spans.code_points([a]), 40, 20, both[:0]).size and not shared_spans.candidate_windows(shared_spans.code_points([a[:39]]), 40, 20, both).size
 
 
 def test_window_hashes_are_of_the_window_alone():

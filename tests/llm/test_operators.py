@@ -144,6 +144,12 @@ def test_shared_spans(spark):
     assert got == {(x, y) for i, x in enumerate(ids) for y in ids[i + 1 :] if has(by[x], by[y])}
     amount = {r.chunk_id: r for r in shared_spans.shared_amount(chunks(spark, rows)).collect()}
     assert amount["a"].shared_chars == 300 and amount["a"].n_partners == 1 and amount["c"].shared_chars == 500 and amount["c"].n_partners == 4
+    assert [(r.start, r.end) for r in amount["a"].intervals] == [(200, 500)] and [(r.start, r.end) for r in amount["c"].intervals] == [(0, 500)]
+    classes = {}
+    for r in shared_spans.shared_classes(chunks(spark, rows)).collect():
+        classes.setdefault(r.class_id, set()).add(r.chunk_id)
+    assert sorted(map(sorted, classes.values())) == [["a", "b"], ["c", *(f"copy{i}" for i in range(4))]]
+    assert not shared_spans.shared_amount(chunks(spark, rows).limit(0)).collect() and not shared_spans.shared_classes(chunks(spark, rows).limit(0)).collect()
     assert "g" not in amount and not shared_spans.sharing_pairs(chunks(spark, rows).limit(0)).collect()
 
 
@@ -243,13 +249,12 @@ def test_hot_key(spark):
     assert lookalikes.print_alikes(alike.where("chunk_id >= 'h'")).count() == 50 * 50
 
 
-@pytest.mark.parametrize("hot", [1, 2, 1000])
-def test_hot_formulas(spark, hot):
-    """A formula of 250 characters in every text makes no pairs, by whichever way; longer shared runs do."""
+def test_hot_formulas(spark):
+    """A formula of 250 characters in every text makes no pairs; longer shared runs do."""
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     formula, runs = text(250), [text(320), text(700)]
     rows = [(f"f{i:02d}", text(100) + formula + "#" + text(90) + (runs[i % 2] + text(5) if i < 9 else "")) for i in range(40)]
     df = chunks(spark, rows)
-    got = set(found(shared_spans.sharing_pairs(df, hot=hot)))
+    got = set(found(shared_spans.sharing_pairs(df)))
     assert got == {(f"f{i:02d}", f"f{j:02d}") for i in range(9) for j in range(i + 1, 9) if i % 2 == j % 2}
