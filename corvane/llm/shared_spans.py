@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, map_batches
+from corvane.llm.common import blocks, map_batches, written
 
 #: Code points that are hashed at once.
 BLOCK = 1 << 20
@@ -122,7 +122,10 @@ def _texts(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
 
 
 def _suspects(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(x, m, text, hs) of each text with hs, its chosen windows that other texts have, too; a row for each text."""
+    """(x, m, text, hs) of each text with hs, its chosen windows that other texts have, too; a row for each text, stored.
+
+    What is joined is stored before, so its size is known and Spark sends a small side instead of shuffling the large one.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = batch.column("text").to_pylist()
@@ -135,10 +138,10 @@ def _suspects(texts: DataFrame, length: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
 
     prints = map_batches(texts.select("x", "m", "text"), run, "h bigint, x bigint, m int")
-    repeated = prints.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h")
-    mine = prints.join(repeated, "h").groupBy("x", "m").agg(F.collect_set("h").alias("hs"))  # a text's own windows at most
+    repeated = written(prints.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h"))
+    mine = written(prints.join(repeated, "h").groupBy("x", "m").agg(F.collect_set("h").alias("hs")))  # a text's own windows at most
     once = texts.select("x", "m", "text").join(mine.select("x", "m"), ["x", "m"], "left_semi").dropDuplicates(["x", "m"])
-    return once.join(mine, ["x", "m"])
+    return written(once.join(mine, ["x", "m"]))
 
 
 def _windows(suspects: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
@@ -169,9 +172,9 @@ def _classes(windows: DataFrame) -> DataFrame:
 
 
 def _members(windows: DataFrame) -> DataFrame:
-    """(h, g, x, m): of the windows that have the same class one, with all its texts."""
-    one = _classes(windows).groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g")
-    return windows.join(one, ["h", "g"])
+    """(h, g, x, m, class_id): of the windows that have the same class one, with all its texts; stored."""
+    one = written(_classes(windows).groupBy("size", "s1", "s2").agg(F.min("h").alias("h")).select("h", F.hex(F.xxhash64("size", "s1", "s2")).alias("class_id")))
+    return written(windows.join(one, "h"))
 
 
 def sharing_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
@@ -195,9 +198,8 @@ def shared_classes(df: DataFrame, id_col: str = "chunk_id", text_col: str = "tex
     """
     texts = _texts(df, id_col, text_col, length)
     ids = texts.select("x", "m", "id").distinct()
-    windows = _windows(_suspects(texts, length, gram or length // 2), length, gram or length // 2, False)
-    named = _classes(windows).groupBy("size", "s1", "s2").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g", F.hex(F.xxhash64("size", "s1", "s2")).alias("class_id"))
-    of_many = windows.join(named, ["h", "g"]).join(ids, ["x", "m"]).select("class_id", "id")
+    members = _members(_windows(_suspects(texts, length, gram or length // 2), length, gram or length // 2, False))
+    of_many = members.join(ids, ["x", "m"]).select("class_id", "id")
     copied = ids.groupBy("x", "m").agg(F.count("*").alias("copies")).where("copies > 1").select("x", "m", F.hex(F.xxhash64("x", "m")).alias("class_id"))
     return of_many.unionByName(ids.join(copied, ["x", "m"]).select("class_id", "id")).withColumnRenamed("id", id_col).distinct()
 
@@ -217,7 +219,7 @@ def shared_amount(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text
     others = a.join(b, ["h", "g"]).where("x <> ox or m <> om").select("x", "m", "ox", "om").distinct()
     partners = others.join(copies.select(F.col("x").alias("ox"), F.col("m").alias("om"), "copies"), ["ox", "om"]).groupBy("x", "m").agg(F.sum("copies").alias("n"))
     spots = _windows(suspects, length, gram or length // 2, True)
-    again = spots.groupBy("h", "g").agg(F.min(F.struct("x", "m")).alias("lo"), F.max(F.struct("x", "m")).alias("hi")).where("lo <> hi").select("h", "g")
+    again = written(spots.groupBy("h", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h", "g"))
     runs = spots.join(again, ["h", "g"]).groupBy("x", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))  # a text's own places at most
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
