@@ -22,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import blocks, map_batches, written
+from corvane.llm.common import blocks, bounded_sample, map_batches, written
 
 #: Code points that are hashed at once.
 BLOCK = 1 << 20
+#: Bits of the table that leaves out texts without a suspect window before texts are shuffled; a power of two.
+FILTER_BITS = 1 << 26
+#: Texts that are looked at for hot windows, and the part of them that must have one.
+SAMPLE, HOT = 2000, 0.01
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -121,37 +125,76 @@ def _texts(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
     return df.where(F.char_length(text_col) >= length).select(F.xxhash64(text_col).alias("x"), F.hash(text_col).alias("m"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def _suspects(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(x, m, text, hs) of each text with hs, its chosen windows that other texts have, too; a row for each text, stored.
+def _hot(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Chosen windows that at least a HOT part of a bounded sample of texts has, more than one of them; in order.
 
-    What is joined is stored before, so its size is known and Spark sends a small side instead of shuffling the large one.
+    They are repeated, so they needn't be counted. Which they are decides only which way their windows go.
     """
+    some = bounded_sample(texts.select("x", "text"), "x", SAMPLE).dropDuplicates(["x"]).collect()
+    _, h = fingerprints([r["text"] for r in some], length, gram) if some else (None, np.zeros(0, dtype=np.int64))
+    values, n = np.unique(h, return_counts=True)
+    return values[n >= max(2, HOT * len(some))]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = batch.column("text").to_pylist()
-        rows, hashes = [], []
-        for a, b in blocks([len(t) for t in found], BLOCK):
-            o, h = fingerprints(found[a:b], length, gram)
-            rows.append(o + a)
-            hashes.append(h)
-        row = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
 
-    prints = map_batches(texts.select("x", "m", "text"), run, "h bigint, x bigint, m int")
-    repeated = written(prints.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h"))
-    mine = written(prints.join(repeated, "h").groupBy("x", "m").agg(F.collect_set("h").alias("hs")))  # a text's own windows at most
-    once = texts.select("x", "m", "text").join(mine.select("x", "m"), ["x", "m"], "left_semi").dropDuplicates(["x", "m"])
-    return written(once.join(mine, ["x", "m"]))
+def _among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(ordered, h)
+    return ordered[np.minimum(at, ordered.size - 1)] == h if ordered.size else np.zeros(h.size, dtype=bool)
+
+
+def _suspects(texts: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """(x, m, text, hs) of each text with hs, its chosen windows that other texts have, too; a row for each text, stored."""
+
+    def prints(want_hot: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = batch.column("text").to_pylist()
+            rows, hashes = [], []
+            for a, b in blocks([len(t) for t in found], BLOCK):
+                o, h = fingerprints(found[a:b], length, gram)
+                keep = _among(h, hot) == want_hot
+                rows.append(o[keep] + a)
+                hashes.append(h[keep])
+            row = pa.array(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("x").take(row), batch.column("m").take(row)], names=["h", "x", "m"])
+
+        return map_batches(texts.select("x", "m", "text"), run, "h bigint, x bigint, m int")
+
+    placed = prints(False).repartition("h")  # counted and kept where they are, so they move once
+    repeated = placed.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h")
+    rows = placed.join(repeated.hint("merge"), "h", "left_semi")
+    if hot.size:
+        rows = rows.unionByName(prints(True))
+    mine = written(rows.groupBy("x", "m").agg(F.collect_set("h").alias("hs")))  # a text's own windows at most
+    known = _bits(mine.select("x"), FILTER_BITS)
+
+    def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bit = batch.column("x").to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        return batch.filter(pa.array((known.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
+
+    near = map_batches(texts.select("x", "m", "text"), maybe, "x bigint, m int, text string")
+    return written(near.join(mine.hint("merge"), ["x", "m"]).dropDuplicates(["x", "m"]))
+
+
+def _bits(keys: DataFrame, size: int):
+    """A broadcast table of ``size`` bits in which those of all keys are set, to leave out rows that have no match early.
+
+    Its size is fixed; the more keys there are, the fewer rows it leaves out, and none that has a match.
+    """
+    bit = F.col("x").bitwiseAND(F.lit(size - 1))
+    words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+    table = np.zeros(size // 64, dtype=np.uint64)
+    for r in words:
+        table[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return keys.sparkSession.sparkContext.broadcast(table)
 
 
-def _windows(suspects: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
-    """(h, g, x, m[, at]) of the windows of ``length`` that may be repeated; without places a text has each once."""
+def _windows(suspects: DataFrame, length: int, gram: int, hot: np.ndarray, want_hot: bool, places: bool = False) -> DataFrame:
+    """(h, g, x, m[, at]) of the windows that may be repeated, those of a hot or of other chosen windows; without places a text has each once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, first, second, at = [], [], [], []
         for i, (text, hs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hs").to_pylist())):
-            code = code_points([text])
-            spots = candidate_windows(code, length, gram, np.array(hs, dtype=np.int64))
+            code, mine = code_points([text]), np.array(hs, dtype=np.int64)
+            spots = candidate_windows(code, length, gram, mine[_among(mine, hot) == want_hot])
             h, g = window_hashes(code, length)[spots].view(np.int64), (window_hashes(code, length, _SECOND)[spots] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             if not places:
                 h, keep = np.unique(h, return_index=True)
@@ -165,23 +208,32 @@ def _windows(suspects: DataFrame, length: int, gram: int, places: bool) -> DataF
     return map_batches(suspects, run, "h bigint, g int, x bigint, m int" + (", at int" if places else ""))
 
 
-def _classes(windows: DataFrame) -> DataFrame:
-    """(h, g, size, s1, s2) of every window that more than one text has: the class of the texts that have it."""
-    counts = windows.groupBy("h", "g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("x", "m")).alias("s1"), F.bit_xor(F.xxhash64("m", "x")).alias("s2"))
-    return counts.where("size > 1")
+def _routes(suspects: DataFrame, length: int, gram: int, hot: np.ndarray, places: bool = False) -> list[DataFrame]:
+    """The windows in two tables: those in few texts move once, to where they are counted and joined; those around a hot
+    chosen window stay, as their counts are combined before they move and their joins can be split."""
+    cold = _windows(suspects, length, gram, hot, False, places).repartition("h")
+    return [cold, _windows(suspects, length, gram, hot, True, places)] if hot.size else [cold]
 
 
-def _members(windows: DataFrame) -> DataFrame:
-    """(h, g, x, m, class_id): of the windows that have the same class one, with all its texts; stored."""
-    one = written(_classes(windows).groupBy("size", "s1", "s2").agg(F.min("h").alias("h")).select("h", F.hex(F.xxhash64("size", "s1", "s2")).alias("class_id")))
-    return written(windows.join(one, "h"))
+def _members(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(h, g, x, m, class_id): of the windows that the same set of texts has one, with all these texts; stored. And the
+    suspects, with what is hot among them."""
+    hot = _hot(texts, length, gram)
+    suspects = _suspects(texts, length, gram, hot)
+    out = None
+    for windows in _routes(suspects, length, gram, hot):
+        classes = windows.groupBy("h", "g").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("x", "m")).alias("s1"), F.bit_xor(F.xxhash64("m", "x")).alias("s2")).where("size > 1")
+        one = classes.groupBy("size", "s1", "s2").agg(F.min("h").alias("h")).select("h", F.hex(F.xxhash64("size", "s1", "s2")).alias("class_id"))
+        found = windows.join(one.hint("merge"), "h")
+        out = found if out is None else out.unionByName(found)
+    return written(out), suspects, hot
 
 
 def sharing_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", length: int = 300, gram: int | None = None) -> DataFrame:
     """Pairs (chunk_a, chunk_b), a < b, of ids whose texts have a run of ``length`` characters in common."""
     texts = _texts(df, id_col, text_col, length)
     ids = texts.select("x", "m", "id").distinct()
-    members = _members(_windows(_suspects(texts, length, gram or length // 2), length, gram or length // 2, False))
+    members, _, _ = _members(texts, length, gram or length // 2)
     a, b = members.select("h", "g", F.struct("x", "m").alias("a")), members.select("h", "g", F.struct("x", "m").alias("b"))
     met = a.join(b, ["h", "g"]).where("a < b").select("a.x", "a.m", "b").distinct()
     between = met.join(ids.withColumnRenamed("id", "ia"), ["x", "m"]).select("ia", "b.x", "b.m").join(ids.withColumnRenamed("id", "ib"), ["x", "m"]).select("ia", "ib")
@@ -198,7 +250,7 @@ def shared_classes(df: DataFrame, id_col: str = "chunk_id", text_col: str = "tex
     """
     texts = _texts(df, id_col, text_col, length)
     ids = texts.select("x", "m", "id").distinct()
-    members = _members(_windows(_suspects(texts, length, gram or length // 2), length, gram or length // 2, False))
+    members, _, _ = _members(texts, length, gram or length // 2)
     of_many = members.join(ids, ["x", "m"]).select("class_id", "id")
     copied = ids.groupBy("x", "m").agg(F.count("*").alias("copies")).where("copies > 1").select("x", "m", F.hex(F.xxhash64("x", "m")).alias("class_id"))
     return of_many.unionByName(ids.join(copied, ["x", "m"]).select("class_id", "id")).withColumnRenamed("id", id_col).distinct()
@@ -213,14 +265,16 @@ def shared_amount(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text
     texts = _texts(df, id_col, text_col, length)
     ids = texts.select("x", "m", "id", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
     copies = ids.groupBy("x", "m").agg(F.count("*").alias("copies"), F.max("n_chars").alias("n_chars"))
-    suspects = _suspects(texts, length, gram or length // 2)
-    members = _members(_windows(suspects, length, gram or length // 2, False))
+    members, suspects, hot = _members(texts, length, gram or length // 2)
     a, b = members.select("h", "g", "x", "m"), members.select("h", "g", F.col("x").alias("ox"), F.col("m").alias("om"))
     others = a.join(b, ["h", "g"]).where("x <> ox or m <> om").select("x", "m", "ox", "om").distinct()
     partners = others.join(copies.select(F.col("x").alias("ox"), F.col("m").alias("om"), "copies"), ["ox", "om"]).groupBy("x", "m").agg(F.sum("copies").alias("n"))
-    spots = _windows(suspects, length, gram or length // 2, True)
-    again = written(spots.groupBy("h", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h", "g"))
-    runs = spots.join(again, ["h", "g"]).groupBy("x", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))  # a text's own places at most
+    repeated = None
+    for spots in _routes(suspects, length, gram or length // 2, hot, True):
+        again = spots.groupBy("h", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h", "g")
+        rows = spots.join(again.hint("merge"), ["h", "g"], "left_semi").select("x", "m", "at")
+        repeated = rows if repeated is None else repeated.unionByName(rows)
+    runs = repeated.groupBy("x", "m").agg(F.array_sort(F.collect_set("at")).alias("at"))  # a text's own places at most
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

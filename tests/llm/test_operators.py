@@ -249,12 +249,15 @@ def test_hot_key(spark):
     assert lookalikes.print_alikes(alike.where("chunk_id >= 'h'")).count() == 50 * 50
 
 
-def test_hot_formulas(spark):
+def test_hot_formulas(spark, monkeypatch):
     """A formula of 250 characters in every text makes no pairs; longer shared runs do."""
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     formula, runs = text(250), [text(320), text(700)]
     rows = [(f"f{i:02d}", text(100) + formula + "#" + text(90) + (runs[i % 2] + text(5) if i < 9 else "")) for i in range(40)]
     df = chunks(spark, rows)
+    assert shared_spans._hot(shared_spans._texts(df, "chunk_id", "text", 300), 300, 150).size
     got = set(found(shared_spans.sharing_pairs(df)))
+    monkeypatch.setattr(shared_spans, "HOT", 2.0)  # the other way
+    assert got == set(found(shared_spans.sharing_pairs(df)))
     assert got == {(f"f{i:02d}", f"f{j:02d}") for i in range(9) for j in range(i + 1, 9) if i % 2 == j % 2}
