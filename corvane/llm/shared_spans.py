@@ -158,8 +158,8 @@ def _suspects(texts: DataFrame, length: int, gram: int, hot: np.ndarray) -> Data
 
         return map_batches(texts.select("x", "m", "text"), run, "h bigint, x bigint, m int")
 
-    placed = prints(False).repartition("h")  # counted and kept where they are, so they move once
-    repeated = placed.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("h")
+    placed = prints(False).where("h is not null").repartition("h")  # counted and joined where they are: the same exchange serves both
+    repeated = placed.groupBy("h").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("m").alias("lm"), F.max("m").alias("hm")).where("lo <> hi or lm <> hm").select("h")
     rows = placed.join(repeated.hint("merge"), "h", "left_semi")
     if hot.size:
         rows = rows.unionByName(prints(True))
@@ -211,7 +211,7 @@ def _windows(suspects: DataFrame, length: int, gram: int, hot: np.ndarray, want_
 def _routes(suspects: DataFrame, length: int, gram: int, hot: np.ndarray, places: bool = False) -> list[DataFrame]:
     """The windows in two tables: those in few texts move once, to where they are counted and joined; those around a hot
     chosen window stay, as their counts are combined before they move and their joins can be split."""
-    cold = _windows(suspects, length, gram, hot, False, places).repartition("h")
+    cold = _windows(suspects, length, gram, hot, False, places).where("h is not null").repartition("h")
     return [cold, _windows(suspects, length, gram, hot, True, places)] if hot.size else [cold]
 
 
