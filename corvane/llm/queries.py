@@ -87,7 +87,7 @@ def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_spans(spark, sf_dir).select("doc_id", "item_id")
+    return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,8 +79,8 @@ def naive_leak(doc, item, share, replaced):
         same = np.array([0 <= i + shift < len(d) and d[i + shift] == w for i, w in enumerate(q)])
         inside = [i for i in range(len(q)) if 0 <= i + shift < len(d)]
         if inside:
-            a, b = leakage.longest_stretch(same[inside[0] : inside[-1] + 1], replaced)
-            best = max(best, b - a)
+            mine = same[inside[0] : inside[-1] + 1]
+            best = max([best, *(b - a for a in range(mine.size) for b in range(a + 1, mine.size + 1) if (~mine[a:b]).sum() <= (b - a) // replaced)])
     return best >= leakage.needed(len(q), share)
 
 
@@ -104,8 +104,26 @@ def test_leaks_equal_naive(seed):
     assert got == {(j, q) for j, d in enumerate(docs) for q, t in items if naive_leak(d, t, 0.4, 10)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stretches_equal_naive(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        same, replaced, need = rng.random(int(rng.integers(1, 40))) < 0.85, int(rng.integers(2, 11)), int(rng.integers(1, 12))
+        spans = [(a, b) for a in range(same.size) for b in range(a + 1, same.size + 1) if b - a >= need and (~same[a:b]).sum() <= (b - a) // replaced]
+        got = leakage.stretches(same, replaced, need)
+        covered = {i for a, b in spans for i in range(a, b) if same[i]}
+        assert {i for a, b, _ in got for i in range(a, b) if same[i]} == covered
+        assert max((n for *_, n in got), default=0) == max((b - a for a, b in spans), default=0)
+
+
+def test_seed_length_of_every_size():
+    for n in (1, 2, 5, 19, 20, 26, 61, 200):
+        least = min(-(-(size - size // 10) // (size // 10 + 1)) for size in range(leakage.needed(n, 0.4), n + 1))
+        assert leakage.seed_length(n, 0.4, 10) == max(1, least)
+
+
 def test_seed_length_is_a_bound():
-    k = leakage.seed_length([26], 1.0, 10)
+    k = leakage.seed_length(26, 1.0, 10)
     same = np.ones(26, dtype=bool)
     same[[8, 17]] = False  # two replaced of 26
     runs = [len(r) for r in "".join("x" if s else " " for s in same).split()]

@@ -61,6 +61,22 @@ def test_leaks(spark):
     assert not leakage.find_leaks(docs.limit(0), items).collect()
 
 
+def test_leaks_of_very_unequal_items_and_second_copies(spark):
+    long = " ".join(f"long{i % 4999}" for i in range(10_000))
+    rows = [(1, "x <b>Blue</b> heron, and again BLUE&nbsp;heron."), (2, "pad " + " ".join(long.split()[3000:7500]) + " pad"), (3, f"{long[:100]} no"), (4, "heron blue"), (5, f"<{'a' * 400}>blue heron")]
+    docs, items = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([("two", "blue heron"), ("long", long)], "id string, query string")
+    for block_words in (6000, leakage.BLOCK_WORDS):
+        got = leakage.find_leaks(docs, items, share=0.45, block_words=block_words).collect()
+        texts = dict(rows)
+        cut = sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start_pos : r.end_pos]) for r in got)
+        assert {(d, i) for d, i, _ in cut} == {(1, "two"), (2, "long"), (4, "two"), (5, "two")} and [t for d, _, t in cut if d == 1] == ["BLUE&nbsp;heron.", "Blue</b> heron,"]
+        assert (2, "long", " ".join(long.split()[3000:7500])) in cut
+    item = " ".join(f"w{i}" for i in range(30))
+    twice = spark.createDataFrame([(1, f"{item}. Other words stand here, then: {item.upper()}!")], "doc_id bigint, text string")
+    got = sorted((r.first_word, r.end_word, r.start_pos, r.end_pos) for r in leakage.find_leaks(twice, spark.createDataFrame([("q", item)], "id string, query string")).collect())
+    assert got == [(0, 30, 0, len(item) + 1), (35, 65, len(item) + 32, 2 * len(item) + 33)]
+
+
 def test_lookalikes(spark):
     rows = [
         ("a", "café report"), ("b", "café report"), ("c", "cаfé re​port"), ("d", "cafe report"), ("e", "café report"), ("f", "ｃａｆé report"), ("g", "Café report"),
