@@ -1,15 +1,21 @@
 """Problem 1: repair of text from scanned pages.
 
-Furniture. A classifier of line pairs decides for every short line, from its shape and from how the lines before and
-after it read on, whether it is body text, a running header or a page number. It is trained on the page table, whose
-first and last lines are furniture, on the forms in which books put page numbers, and on body lines.
-
-Joins. A word broken over a line end (furniture taken out) is one word or keeps its hyphen. A classifier decides from
-how often the joined and the hyphenated spelling and the two halves stand unbroken in the corpus.
-
-Misread characters. Distinct spellings meet correction candidates in an inverted join over character trigrams: a
-spelling's rarest trigrams against all trigrams of frequent words. Gradient-boosted trees, trained on words
-corrupted by the confusions of print, rank the candidates; the best one above one half is the word meant.
+Furniture. A classifier of line pairs decides for every line that isn't much longer and has no more running words than
+furniture that was met, from its shape and from how the lines before and after it read on, whether it is body text, a running header or a page number. It is
+trained on the page table, whose first and last lines are furniture, on the forms in which books put page numbers, and
+on lines of texts: those whose shape comes again and again and breaks into running sentences are furniture, all others
+are not.
+
+Joins. Whether a hyphen at a line end parts a word, or belongs to it, is decided for pairs of lines: from how often the
+joined and the hyphenated spelling and the two halves stand unbroken in the corpus, how full the first line is, and how
+the second one starts. Another classifier of line pairs decides for any two lines of a repaired text whether the second
+continues the paragraph of the first. It is trained on paragraphs that are wrapped for the purpose.
+
+Misread characters. Distinct spellings meet correction candidates in an inverted join over character bigrams: the
+rarest 2 e + 1 bigrams of a spelling against those of known words about as far into the word, e being the edits that
+are allowed. An edit changes two bigrams, so the one of them that it must have left is met. Gradient-boosted trees,
+trained on words corrupted by the confusions of print, rank the candidates; the best one above one half is the word
+meant. What was confused with what is learned from the same words; the list of confusions only makes examples.
 
 Word counts cover all chunks. The models are trained on bounded samples: SAMPLE pages, SAMPLE chunk texts, and the TOP
 most frequent words. Null and empty texts have no cases and are repaired to null and ''. Deliveries of an id with
@@ -36,15 +42,17 @@ from corvane.llm.truncation import BUCKETS, _columns, fit
 
 
 SAMPLE = 4000
-#: Most frequent words, which are never looked up for corrections and train the ranking.
+#: Most frequent words, which train the ranking.
 TOP = 20_000
 #: Occurrences from which a word may be what a misread spelling means.
 LEAST = 3
 MEMO = 500_000
-#: Rarest known trigrams of a spelling that look for candidates.
-PREFIX = 6
+#: Characters of a line that may have been wrapped.
+_WIDEST = 120
+#: How many times as frequent as a spelling in letters the word must be that it may be a misreading of.
+RARER = 4
 
-# What print is misread as, and the letters meant.
+# What print is misread as, and the letters meant; they corrupt words to train on.
 CONFUSIONS = {
     "1": ("l", "i", "r", "t"), "0": ("o",), "5": ("s",), "9": ("g",), "6": ("b",), "8": ("b",), "@": ("a",), "c": ("e",), "f": ("t",), "v": ("y",), "b": ("h",), "m": ("in", "ni", "nn"),
     "rn": ("m",), "cl": ("d",), "ii": ("u",), "vv": ("w",), "i·": ("r",), "\\·": ("v",), "h": ("li",), "n": ("ri",), "e": ("c",), "l": ("i", "t"), "u": ("ii",), "3": ("e",), "$": ("s",), "2": ("z",), "7": ("t",), "|": ("l", "i"), "!": ("l", "i"), "iii": ("m",), "li": ("h",), "ri": ("n",), "nn": ("m",), "tl": ("d",), "q": ("g",),
@@ -52,10 +60,8 @@ CONFUSIONS = {
 
 _HYPHENS = "-‐‑¬\xad"
 _SEAM = re.compile(rf"[{_HYPHENS}][ \t]*\r?\n[ \t]*")
-_LEFT = re.compile(r"[^\W\d_](?:[^\W_]|['’@·\\-])*\Z")
+_INNER = frozenset("'’@·\\-")
 _RIGHT = re.compile(r"[^\W\d_](?:[^\W_]|['’@·\\-])*")
-#: Characters of a half of a broken word; a longer half is no word.
-_HALF = 40
 _EDGES = re.compile(r"^[^\w@·\\$]+|[^\w@·]+$")
 _ROMAN = re.compile(r"[ivxlc]{1,7}")
 _INVISIBLE = re.compile("[​-‏⁠﻿\xad]")
@@ -95,6 +101,7 @@ def line_features(line: str, before: str, after: str) -> list[str]:
         "1", f"s={shape}", f"r={rough}" if len(words) <= 6 else "r=long", f"first={words[0] if words else ''}", f"last={words[-1] if words else ''}",
         f"two={' '.join(words[:2])}", f"n={min(len(words), 9)}", f"on={reads_on}", f"on={reads_on},{rough if len(words) <= 3 else 'long'}",
         f"end={line[-1:] if not line[-1:].isalnum() else 'a'}", f"upper={shape.isupper()}", f"digits={any(c.isdigit() for c in line)}", f"low={line[:1].islower()}",
+        f"running={min(running_words(line), 2)},{reads_on}",
     ]
 
 
@@ -112,13 +119,26 @@ def broken_words(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, left half, right half, hyphen) of the words broken over line ends, none overlapping another."""
     out = []
     for m in _SEAM.finditer(text):
-        left = _LEFT.search(text[max(out[-1][1] if out else 0, m.start() - _HALF) : m.start()])
-        right = _RIGHT.match(text, m.end(), m.end() + _HALF)
-        if left and right:
-            out.append((m.start() - len(left.group()), right.end(), left.group(), right.group(), text[m.start()]))
+        at, least = m.start(), out[-1][1] if out else 0
+        while at > least and (text[at - 1].isalnum() or text[at - 1] in _INNER):
+            at -= 1
+        while at < m.start() and not text[at].isalpha():
+            at += 1
+        right = _RIGHT.match(text, m.end())
+        if at < m.start() and right:
+            out.append((at, right.end(), text[at : m.start()], right.group(), text[m.start()]))
     return out
 
 
+def seam_shape(text: str, start: int, end: int, seam: int, width: int) -> str:
+    """How the lines around a broken word look: how full the first is (in tenths of the widest), and the second's start."""
+    first = text.rfind("\n", 0, start) + 1
+    full = min(9, 10 * (seam - first) // max(1, width))
+    after = text.find("\n", seam) + 1
+    rest = text[after:end].lstrip()[:1]
+    return f"{full}{'a' if rest.islower() else 'A'}"
+
+
 def without(text: str, spans: list[tuple[int, int, str, str, str]]) -> str:
     parts, at = [], 0
     for start, end, *_ in spans:
@@ -131,17 +151,23 @@ def without(text: str, spans: list[tuple[int, int, str, str, str]]) -> str:
 class Furniture:
     header: np.ndarray
     page: np.ndarray
+    longest: int  # characters of a line that may be furniture: twice those of the longest one met
+    running: int  # running words of such a line: one more than in any met
 
     @classmethod
-    def train(cls, pages: list[str], texts: list[str], chapters: list[str], seed: int = 3) -> Furniture:
+    def train(cls, pages: list[str], texts: list[str], seed: int = 3) -> Furniture:
         rng = np.random.default_rng(seed)
         split = [[s for s in map(str.strip, p.split("\n")) if s] for p in pages]
         first = Counter(line_shape(p[0]) for p in split if len(p) > 1)
         heads = sorted({p[0] for p in split if len(p) > 1 and first[line_shape(p[0])] >= max(3, len(split) // 400) and len(p[0]) <= 70 and not p[0].startswith("EXHIBIT")})
         codes = [h for h in heads if any(c.isdigit() for c in h)]
         titles = [h for h in heads if h not in codes]
-        known = {line_shape(h) for h in heads}
         body = [[s for s in map(str.strip, t.split("\n")) if s] for t in texts]
+        again = _interrupting(body)
+        known = {k for k in {line_shape(h) for h in heads} | again if not _number_only(k)}
+        met = sorted({s for b in body for s in b if line_shape(s) in again and not _number_only(line_shape(s))})
+        running = 1 + max([0, *map(running_words, heads), *map(running_words, met)])
+        longest = 2 * max([0, *map(len, heads), *map(len, met)]) + 12
         lines = [s for b in body for s in b if len(s) > 30]
         rows, kinds = [], []
 
@@ -158,32 +184,29 @@ class Furniture:
             rows.append(line_features(line, before, after))
             kinds.append(kind)
 
-        for _ in range(max(1, 6000 if heads else 0)):
-            if not heads:
-                break
-            code, title = rng.choice(codes or heads), rng.choice(titles or heads)
-            m = int(rng.integers(1, 30))
-            chapter = rng.choice(chapters) if chapters else "Overview"
-            add(_misread([code, title, f"{code}   {title}", f"Encl ({m}) to {code}", f"{code}  CHAPTER {m}", f"Chapter {m} -- {chapter}"][rng.integers(6)], rng), 1)
+        for _ in range(6000 if heads or met else 0):
+            code, title = (rng.choice(codes or heads), rng.choice(titles or heads)) if heads else ("", "")
+            seen = str(rng.choice(met)) if met else code
+            add(_misread([code, title, f"{code}   {title}"][rng.integers(3)] if heads and rng.random() < (0.4 if met else 1) else seen, rng), 1)
         for _ in range(3000):
             add(_misread(_page_number(rng), rng) if rng.random() < 0.5 else _page_number(rng), 2)
         for p in split:
             if len(p) > 2 and len(p[-1]) <= 12 and any(c.isdigit() for c in p[-1]):
                 add(p[-1], 2)
-        numbers = re.compile(r"(?:page\W*)?\W*(?:[ivxl]+|N)?\W*N?\W*(?:of N)?", re.I)
         for b in body:
             for i, line in enumerate(b):
-                if not may_be_furniture(line):
-                    continue
-                shape = line_shape(line)
-                if shape in known or numbers.fullmatch(shape) or shape == "roman" or any(k in shape for k in known) or re.match(r"Chapter N -- ", shape):
+                shape = line_shape(line) if len(line) <= longest and running_words(line) <= running else ""
+                if not shape or shape in known or _number_only(shape) or any(k in shape for k in known) or _begins_like(shape, known):
                     continue
                 rows.append(line_features(line, b[i - 1] if i else "", b[i + 1] if i + 1 < len(b) else ""))
                 kinds.append(0)
         if not rows:
-            return cls(np.zeros(BUCKETS), np.zeros(BUCKETS))
+            return cls(np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0)
         x, y = _columns(rows), np.array(kinds)
-        return cls(fit(x, (y == 1).astype(float)), fit(x, (y == 2).astype(float)))
+        return cls(fit(x, (y == 1).astype(float)), fit(x, (y == 2).astype(float)), longest, running)
+
+    def asks(self, line: str) -> bool:
+        return len(line) <= self.longest and running_words(line) <= self.running
 
     def kinds(self, rows: list[tuple[str, ...]]) -> list[str]:
         if not rows:
@@ -193,25 +216,38 @@ class Furniture:
         return np.where((h > 0) & (h >= p), "header", np.where(p > 0, "page_no", "")).tolist()
 
 
-#: A word or number whose first I or 1 was read as l.
-_MISREAD_I = re.compile(r"l(?:[0-9A-Z]|[bcdfghjkmnpqrstvwxz])[\w.–)\]-]*")
 # Small words inside titles.
 _SMALL = frozenset("a an and at by for in of on or the to upon with".split())
 
 
-def may_be_furniture(line: str) -> bool:
-    """Short, and of words that start large but for the small ones of titles and a misread I; or one roman number."""
-    if len(line) > 70 or line[-1] in ",;":
-        return False
-    words = line.split()
-    if len(words) > 9:
-        return False
-    if words[0][0].islower() and not _MISREAD_I.fullmatch(words[0]):
-        return len(words) == 1 and _ROMAN.fullmatch(line) is not None
-    for w in words:
-        if w[0].islower() and w not in _SMALL and not _MISREAD_I.fullmatch(w):
-            return False
-    return True
+def running_words(line: str) -> int:
+    """Words that start small, but for the small ones of titles and for numbers whose first 1 was read as l."""
+    return sum(w[0].islower() and w not in _SMALL and not (w[0] == "l" and any(map(str.isdigit, w))) for w in line.split())
+
+
+def _interrupting(body: list[list[str]]) -> set[str]:
+    """Shapes of lines that come in several texts and stand between the halves of a sentence in some of them."""
+    times: Counter = Counter()
+    within: Counter = Counter()
+    for b in body:
+        seen = set()
+        for i, line in enumerate(b):
+            shape = line_shape(line) if len(line) <= _WIDEST and not line[:1].islower() else ""
+            if shape and shape not in seen:
+                seen.add(shape)
+                times[shape] += 1
+                within[shape] += bool(0 < i < len(b) - 1 and (b[i - 1][-1].isalnum() or b[i - 1][-1] in ",-") and b[i + 1][0].islower() and line[-1] not in ",;")
+    return {k for k, n in times.items() if n >= 3 and within[k] >= max(2, 0.1 * n)}
+
+
+def _number_only(shape: str) -> bool:
+    return re.fullmatch(r"(?:page\W*)?\W*(?:[ivxl]+|NV|N)?\W*N?\W*(?:of N)?", shape, re.I) is not None or shape == "roman"
+
+
+def _begins_like(shape: str, known: set[str]) -> bool:
+    """Its first two words are those of a known shape and hold a number."""
+    two = shape.split()[:2]
+    return len(two) == 2 and "N" in two[1] and len(two[0]) > 1 and any(k.split()[:2] == two for k in known)
 
 
 class Lines:
@@ -228,11 +264,11 @@ class Lines:
         for text in texts:
             mine: list[tuple[int, str, tuple[str, ...]]] = []
             asked.append(mine)
-            if "\n" not in text and len(text) > 70:
+            if "\n" not in text and len(text) > self.model.longest:
                 continue
             lines = [s.strip() for s in text.split("\n")]
             for i, line in enumerate(lines):
-                if line and may_be_furniture(line):
+                if line and self.model.asks(line):
                     before = next((s for s in reversed(lines[:i]) if s), "")
                     after = next((s for s in lines[i + 1 :] if s), "")
                     mine.append((i, line, tuple(line_features(line, before, after))))
@@ -247,33 +283,39 @@ class Lines:
 
 # ---------------------------------------------------------------- joins
 
-#: Features of a broken word: how often its joined and hyphenated form and its halves stand unbroken, and the hyphen.
-_JOIN_COLUMNS = 6
+#: Features of a broken word: how often its joined and hyphenated form and its halves stand unbroken, the hyphen, and the lines.
+_JOIN_COLUMNS = 8
 
 
-def join_row(joined: float, compound: float, left: float, right: float, hyphen: str) -> list[float]:
-    return [log(1 + joined), log(1 + compound), log(1 + joined) - log(1 + compound), min(log(1 + left), log(1 + right)), float(hyphen != "-"), float(compound > 0)]
+def join_row(joined: float, compound: float, left: float, right: float, seam: str) -> list[float]:
+    """seam: the hyphen, how full the first line is, and a letter of the case that the second starts in."""
+    return [log(1 + joined), log(1 + compound), log(1 + joined) - log(1 + compound), min(log(1 + left), log(1 + right)), float(seam[0] != "-"), float(compound > 0), float(seam[1]), float(seam[2] == "a")]
 
 
 def train_joins(words: dict[str, int], seed: int = 5) -> Trees:
-    """Words cut at a random place against hyphenated words cut at their hyphen; some with unknown wholes."""
+    """Words cut at a random place at the end of a full line against hyphenated words cut at their hyphen, some with
+    unknown wholes, and against words before a dash at the end of a line that isn't full."""
     rng = np.random.default_rng(seed)
     x, y = [], []
+    full = lambda: str(int(rng.integers(6, 10)))
     for w, n in sorted(words.items()):
         if "-" in w.strip("-"):
             a, _, b = w.partition("-")
             hide = rng.random() < 0.15
-            x.append(join_row(words.get(a + b, 0), 0 if hide else n, words.get(a, 0) + 5 * hide, words.get(b, 0) + 5 * hide, "-"))
+            x.append(join_row(words.get(a + b, 0), 0 if hide else n, words.get(a, 0) + 5 * hide, words.get(b, 0) + 5 * hide, f"-{full()}a"))
             y.append(0)
         elif len(w) >= 5 and w.isalpha():
             k = int(rng.integers(2, len(w) - 1))
             hide = rng.random() < 0.15
-            x.append(join_row(0 if hide else n, words.get(f"{w[:k]}-{w[k:]}", 0), words.get(w[:k], 0), words.get(w[k:], 0), str(rng.choice(list(_HYPHENS)))))
+            x.append(join_row(0 if hide else n, words.get(f"{w[:k]}-{w[k:]}", 0), words.get(w[:k], 0), words.get(w[k:], 0), f"{rng.choice(list(_HYPHENS))}{full()}{'a' if rng.random() < 0.97 else 'A'}"))
             y.append(1)
     plain = sorted(w for w in words if len(w) >= 3 and w.isalpha())
     for _ in range(min(1000, 10 * len(plain))):  # compounds of known words, as there may be few real ones
         a, b = (plain[int(rng.integers(len(plain)))] for _ in range(2))
-        x.append(join_row(0, max(1.0, min(words[a], words[b]) * rng.random()), words[a], words[b], "-"))
+        x.append(join_row(0, max(1.0, min(words[a], words[b]) * rng.random()), words[a], words[b], f"-{full()}a"))
+        y.append(0)
+        a, b = (plain[int(rng.integers(len(plain)))] for _ in range(2))
+        x.append(join_row(words.get(a + b, 0), words.get(f"{a}-{b}", 0), words[a], words[b], f"-{int(rng.integers(0, 10))}A"))
         y.append(0)
     return fit_trees(np.array(x, dtype=float).reshape(-1, _JOIN_COLUMNS), np.array(y, dtype=float), rounds=30)
 
@@ -281,7 +323,27 @@ def train_joins(words: dict[str, int], seed: int = 5) -> Trees:
 # ---------------------------------------------------------------- misread characters
 
 
-def confusion_cost(spelling: str, word: str) -> int:
+def learned_confusions(pairs: list[tuple[str, str]], least: int = 3) -> dict[str, tuple[str, ...]]:
+    """By what was read: what was meant, from (misread, meant) pairs that differ in one place; seen ``least`` times."""
+    times: Counter = Counter()
+    for bad, word in pairs:
+        a = 0
+        while a < min(len(bad), len(word)) and bad[a] == word[a]:
+            a += 1
+        b = 0
+        while b < min(len(bad), len(word)) - a and bad[-1 - b] == word[-1 - b]:
+            b += 1
+        seen, meant = bad[a : len(bad) - b], word[a : len(word) - b]
+        if seen and meant and len(seen) <= 3:
+            times[seen, meant] += 1
+    out: dict[str, tuple[str, ...]] = {}
+    for (seen, meant), n in sorted(times.items()):
+        if n >= least:
+            out[seen] = (*out.get(seen, ()), meant)
+    return out
+
+
+def confusion_cost(spelling: str, word: str, confusions: dict[str, tuple[str, ...]]) -> int:
     """Fewest confusions, any other edit counting 4, that turn ``word`` into ``spelling``; more than 8 is 9."""
     n, m = len(spelling), len(word)
     if abs(n - m) > 3:
@@ -302,15 +364,21 @@ def confusion_cost(spelling: str, word: str) -> int:
             if j < m and c + 4 < best[i][j + 1]:
                 best[i][j + 1] = c + 4
             for k in (1, 2, 3):
-                for meant in CONFUSIONS.get(spelling[i : i + k], ()) if i + k <= n else ():
+                for meant in confusions.get(spelling[i : i + k], ()) if i + k <= n else ():
                     if word.startswith(meant, j) and c + 1 < best[i + k][j + len(meant)]:
                         best[i + k][j + len(meant)] = c + 1
     return min(9, best[n][m])
 
 
-def rank_row(spelling: str, word: str, n_spelling: float, n_word: float) -> list[float]:
+@dataclass
+class Ranking:
+    trees: Trees
+    confusions: dict[str, tuple[str, ...]]
+
+
+def rank_row(spelling: str, word: str, n_spelling: float, n_word: float, confusions: dict[str, tuple[str, ...]]) -> list[float]:
     odd = sum(not c.isalpha() and c not in "-'" for c in spelling)
-    return [float(confusion_cost(spelling, word)), log((1 + n_word) / (1 + n_spelling)), log(1 + n_word), log(1 + n_spelling), float(len(spelling)), float(odd), float(spelling[:1] != word[:1]), float(spelling[-1:] != word[-1:])]
+    return [float(confusion_cost(spelling, word, confusions)), log((1 + n_word) / (1 + n_spelling)), log(1 + n_word), log(1 + n_spelling), float(len(spelling)), float(odd), float(spelling[:1] != word[:1]), float(spelling[-1:] != word[-1:])]
 
 
 def corrupt(word: str, rng: np.random.Generator) -> str | None:
@@ -321,7 +389,7 @@ def corrupt(word: str, rng: np.random.Generator) -> str | None:
     return word[:i] + seen + word[i + k :]
 
 
-def train_ranking(words: dict[str, int], sample: int = 3000, seed: int = 11) -> Trees:
+def train_ranking(words: dict[str, int], sample: int = 3000, seed: int = 11) -> Ranking:
     """Corrupted words against the words meant (1), and corrupted or real words against other candidates (0)."""
     rng = np.random.default_rng(seed)
     names = sorted(w for w in words if len(w) >= 4 and w.replace("-", "").isalpha())
@@ -338,20 +406,28 @@ def train_ranking(words: dict[str, int], sample: int = 3000, seed: int = 11) ->
 
     x, y = [], []
     chosen = [names[i] for i in rng.permutation(len(names))[:sample]]
+    read = [(bad, w) for w in names for bad in [corrupt(w, rng) for _ in range(max(2, 6000 // len(names)))] if bad and bad != w]
+    confusions = learned_confusions(read)
     for w in chosen:
         bad = corrupt(w, rng)
+        if bad and rng.random() < 0.3:
+            bad = corrupt(bad, rng) or bad  # two misreadings in one word
         if bad and bad != w:
-            n_bad = max(1.0, words[w] * float(rng.choice([0.0005, 0.002, 0.01, 0.03])))
+            n_bad = max(1.0, words[w] * float(rng.choice([0.00002, 0.0001, 0.0005, 0.002, 0.01, 0.03])))
             odd = any(not c.isalpha() and c not in "-'" for c in bad)
             if n_bad * 8 <= words[w] or odd:
-                for cand in {*near(bad), w}:
-                    x.append(rank_row(bad, cand, n_bad, words[cand]))
+                also = corrupt(w, rng) or bad  # another misreading isn't what was meant
+                if also not in (bad, w) and also not in words:
+                    x.append(rank_row(bad, also, n_bad, n_bad + int(rng.integers(10)), confusions))
+                    y.append(False)
+                for cand in sorted({*near(bad), w}):
+                    x.append(rank_row(bad, cand, n_bad, words[cand], confusions))
                     y.append(cand == w)
         for cand in near(w):
             if cand != w:
-                x.append(rank_row(w, cand, words[w], words[cand]))
+                x.append(rank_row(w, cand, words[w], words[cand], confusions))
                 y.append(False)
-    return fit_trees(np.array(x, dtype=float).reshape(-1, 8), np.array(y, dtype=float))
+    return Ranking(fit_trees(np.array(x, dtype=float).reshape(-1, 8), np.array(y, dtype=float)), confusions)
 
 
 # ---------------------------------------------------------------- the operator
@@ -382,7 +458,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _odd_spelling(w: str) -> bool:
     letters = sum(c.isalpha() for c in w)
-    return 4 <= len(w) <= 26 and letters >= 0.6 * len(w) and len(w) - letters <= 3 and all(c.isalnum() or c in "@·\\-'$|!" for c in w)
+    return 4 <= len(w) and letters >= 0.6 * len(w) and len(w) - letters <= 3 and all(c.isalnum() or c in "@·\\-'$|!" for c in w)
 
 
 def occurrences(texts: DataFrame, model: Furniture, frequent: set[str]) -> DataFrame:
@@ -403,10 +479,12 @@ def occurrences(texts: DataFrame, model: Furniture, frequent: set[str]) -> DataF
         for i, (got, rest) in enumerate(lines.furniture(batch.column("text").to_pylist())):
             out = {(k, line, "", "") for k, line in got}
             broken = broken_words(rest) if "\n" in rest else []
-            for _, _, left, right, hyphen in broken:
+            width = min(_WIDEST, max(map(len, rest.split("\n")))) if broken else 0
+            for start, end, left, right, hyphen in broken:
+                seam = hyphen + seam_shape(rest, start, end, start + len(left), width)
                 left, right = bare(left), bare(right)
                 if left and right:
-                    out.add(("break", left, right, hyphen))
+                    out.add(("break", left, right, seam))
             tokens = (without(rest, broken) if broken else rest).split()
             looked = []
             common = 0
@@ -431,30 +509,56 @@ def occurrences(texts: DataFrame, model: Furniture, frequent: set[str]) -> DataF
     return map_batches(texts, run, f"id {kind}, kind string, a string, b string, c string")
 
 
-def _trigrams(word) -> F.Column:
+def _bigrams(word) -> F.Column:
+    """(gram, at) of the padded word; a gram that comes again counts each time."""
     padded = F.concat(F.lit("^"), word, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substring(padded, k, F.lit(3))))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda k: F.struct(F.substring(padded, k, F.lit(2)).alias("gram"), k.alias("at")))
 
 
-def corrections(spellings: DataFrame, counts: DataFrame, ranking: Trees) -> DataFrame:
-    """(spelling, word, cost): the best candidate of every distinct spelling that has one above one half."""
+def allowed_edits(word) -> F.Column:
+    """Edits that a misread spelling may be from the word meant: one in two characters, 3 at most."""
+    return F.least(F.lit(3), F.floor(F.length(word) / 2).cast("int"))
+
+
+def candidates(spellings: DataFrame, counts: DataFrame) -> DataFrame:
+    """(spelling, n_spelling, word, n_word): known words within the allowed edits, frequent enough to be what is meant."""
     known = counts.where((F.col("n") >= LEAST) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+(?:[-']\p{L}+)*$"))
-    posts = known.select(F.col("word"), F.col("n").alias("n_word"), F.explode(_trigrams(F.col("word"))).alias("gram"))
+    posts = known.select("word", F.col("n").alias("n_word"), F.inline(_bigrams(F.col("word"))))
     often = posts.groupBy("gram").agg(F.count("*").alias("df"))
-    mine = spellings.join(counts.withColumnRenamed("word", "spelling"), "spelling").select("spelling", F.col("n").alias("n_spelling"), F.explode(_trigrams(F.col("spelling"))).alias("gram")).join(often, "gram")
-    rare = mine.withColumn("k", F.row_number().over(Window.partitionBy("spelling").orderBy("df", "gram"))).where(F.col("k") <= PREFIX)
-    near = rare.join(posts, "gram").where((F.col("word") != F.col("spelling")) & (F.abs(F.length("word") - F.length("spelling")) <= 2)).select("spelling", "n_spelling", "word", "n_word").distinct()
-    near = near.where(F.expr("n_word >= n_spelling and levenshtein(spelling, word, 3) >= 0"))
+    mine = spellings.join(counts.withColumnRenamed("word", "spelling"), "spelling").select("spelling", F.col("n").alias("n_spelling"), F.inline(_bigrams(F.col("spelling")))).join(often, "gram", "left")
+    w = Window.partitionBy("spelling").orderBy(F.coalesce("df", F.lit(0)), "gram", "at")
+    rare = mine.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 2 * allowed_edits(F.col("spelling")) + 1).where("df is not null")
+    lettered = F.col("spelling").rlike(r"^\p{L}+$")
+    near = rare.withColumnRenamed("at", "here").join(posts, "gram").where(
+        (F.abs(F.col("at") - F.col("here")) <= allowed_edits(F.col("spelling")))
+        & (F.abs(F.length("word") - F.length("spelling")) <= allowed_edits(F.col("spelling")))
+        & (F.col("n_word") >= F.when(lettered, RARER * F.col("n_spelling")).otherwise(F.col("n_spelling")))
+        & (F.col("word") != F.col("spelling"))
+        & (F.levenshtein("spelling", "word", 3).between(0, allowed_edits(F.col("spelling"))))
+    )
+    return near.select("spelling", "n_spelling", "word", "n_word").distinct()
+
+
+def corrections(spellings: DataFrame, counts: DataFrame, ranking: Ranking) -> DataFrame:
+    """(spelling, word, cost): the best candidate of every distinct spelling that has one above one half."""
     shared = spellings.sparkSession.sparkContext.broadcast(ranking)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [rank_row(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("spelling", "word", "n_spelling", "n_word")))]
-        score = shared.value.scores(np.array(rows, dtype=float).reshape(-1, 8))
-        cost = np.array([r[0] for r in rows])
-        return pa.RecordBatch.from_arrays([batch.column("spelling"), batch.column("word"), batch.column("n_word"), pa.array(np.where(cost <= 3, score, 0.0)), pa.array(cost)], names=["spelling", "word", "n_word", "score", "cost"])
+        r = shared.value
+        rows = np.array([rank_row(*c, r.confusions) for c in zip(*(batch.column(c).to_pylist() for c in ("spelling", "word", "n_spelling", "n_word")))], dtype=float).reshape(-1, 8)
+        return pa.RecordBatch.from_arrays([batch.column("spelling"), batch.column("word"), batch.column("n_word"), pa.array(r.trees.scores(rows)), pa.array(rows[:, 0])], names=["spelling", "word", "n_word", "score", "cost"])
+
+    ranked = map_batches(candidates(spellings, counts), run, "spelling string, word string, n_word bigint, score double, cost double").where("score > 0.5")
+    best = written(ranked.groupBy("spelling").agg(F.max(F.struct("score", "n_word", "word", "cost")).alias("b")).select("spelling", "b.word", "b.cost"))
+    misread = best.select(F.col("spelling").alias("word"), F.col("word").alias("meant"))  # of a word that is misread itself, the word meant by it
+    return best.join(misread, "word", "left").select("spelling", F.coalesce("meant", "word").alias("word"), "cost").where("spelling <> word")
+
 
-    ranked = map_batches(near.repartition("spelling", "word"), run, "spelling string, word string, n_word bigint, score double, cost double").where("score > 0.5")
-    return ranked.groupBy("spelling").agg(F.max(F.struct("score", "n_word", "word", "cost")).alias("b")).select("spelling", "b.word", "b.cost")
+def looked_up(counts: DataFrame) -> DataFrame:
+    """(spelling): the words that may be misread ones, however frequent they are; see ``_odd_spelling``."""
+    letters = F.length(F.regexp_replace("word", r"\P{L}", ""))
+    size = F.length("word")
+    return counts.where((size >= 4) & (letters >= 0.6 * size) & (size - letters <= 3) & F.col("word").rlike(r"^[\p{L}\p{N}@·\\\-'$|!]+$")).select(F.col("word").alias("spelling"))
 
 
 def not_fragments(misread: DataFrame, counts: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -495,25 +599,22 @@ def noise(chunks: DataFrame, pages: DataFrame, id_col: str = "chunk_id", text_co
     counts = written(word_counts(texts))
     frequent = {r["word"]: r["n"] for r in counts.where(F.col("word").rlike(r"^\p{L}+(?:[-']\p{L}+)*$")).orderBy(F.desc("n"), "word").limit(top).collect()}
     page_rows = bounded_sample(pages.where(F.octet_length("text") > 0).select(F.concat_ws("/", "doc", "page_num").alias("k"), "text"), "k", sample).collect()
-    some = bounded_sample(texts.select("id"), "id", sample)
-    text_rows = texts.join(F.broadcast(some), "id", "left_semi").limit(2 * sample).collect()
-    chapters = [r[0] for r in chunks.select("chapter_title").where("chapter_title is not null").distinct().orderBy("chapter_title").limit(sample).collect()] if "chapter_title" in chunks.columns else []
-    model = Furniture.train([r["text"] for r in page_rows], [r["text"] for r in text_rows], chapters)
-    settled = _settled(frequent)
-    occ = written(occurrences(texts, model, settled).distinct())
+    model = Furniture.train([r["text"] for r in page_rows], _some_texts(texts, sample))
+    sure = _sure(frequent)
+    fixed = written(corrections(looked_up(counts), counts, train_ranking(sure)))
+    often = chunks.sparkSession.createDataFrame([(w,) for w in frequent], "spelling string")
+    wrong = {r[0] for r in fixed.join(often, "spelling").select("spelling").collect()}  # frequent words at most
+    occ = written(occurrences(texts, model, frequent.keys() - wrong).distinct())
     lines = occ.where(F.col("kind").isin("header", "page_no")).select("id", "kind", F.col("a").alias("token"), F.col("a").alias("seen"))
-    sure = {w: n for w, n in frequent.items() if w in settled}
-    fixed = corrections(occ.where("kind = 'spelling'").select(F.col("a").alias("spelling")).distinct(), counts, train_ranking(sure))
-    fixed = written(fixed)
     misread = not_fragments(occ.where("kind = 'spelling'").select("id", F.col("a").alias("spelling"), F.col("b").alias("end")).join(fixed, "spelling"), counts, fixed).select("id", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("spelling").alias("seen"))
     whole = joins(occ.where("kind = 'break'").select("a", "b", "c").distinct(), counts, train_joins(sure))
-    hyphen = occ.where("kind = 'break'").select("id", "a", "b", "c").join(whole, ["a", "b", "c"]).select("id", F.lit("hyphen").alias("kind"), F.col("word").alias("token"), F.concat("a", "c", F.lit("\n"), "b").alias("seen"))
+    hyphen = occ.where("kind = 'break'").select("id", "a", "b", "c").join(whole, ["a", "b", "c"]).select("id", F.lit("hyphen").alias("kind"), F.col("word").alias("token"), F.concat("a", F.left("c", F.lit(1)), F.lit("\n"), "b").alias("seen"))
     return lines.unionByName(misread).unionByName(hyphen).distinct().withColumnRenamed("id", id_col)
 
 
-def _settled(frequent: dict[str, int]) -> set[str]:
-    """Frequent words that no confusion leads to from a word many times as frequent."""
-    return {w for w, n in frequent.items() if not any(frequent.get(v, 0) > 8 * n for v in _meant(w))}
+def _sure(frequent: dict[str, int]) -> dict[str, int]:
+    """Frequent words to train on: no confusion leads to them from a word many times as frequent."""
+    return {w: n for w, n in frequent.items() if not any(frequent.get(v, 0) > 8 * n for v in _meant(w))}
 
 
 def _meant(spelling: str):
@@ -523,25 +624,83 @@ def _meant(spelling: str):
                 yield spelling[:i] + letters + spelling[i + k :]
 
 
-def repaired(chunks: DataFrame, pages: DataFrame, id_col: str = "chunk_id", text_col: str = "text", **options) -> DataFrame:
+def _kind_of(c: str) -> str:
+    return "" if not c else "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "." if c in ".!?" else c if c in ",;:-)" else "*"
+
+
+def pair_features(before: str, after: str, width: int) -> list[str]:
+    """What tells whether a line continues the one before; width: of a full line of the text, 0 if it isn't known."""
+    end, start, words = _kind_of(before[-1:]), _kind_of(after[:1]), after.split()
+    full = "?" if not width else str(min(13, 10 * len(before) // width))
+    no_room = bool(width) and len(before) + 1 + len(words[0] if words else "") > width
+    entry = _ENTRY.match(after) is not None
+    return [
+        "1", f"end={end}", f"start={start}", f"both={end}{start}", f"full={full}", f"full={full},{start}", f"full={full},{end}", f"room={no_room},{end}{start}",
+        f"entry={entry},{end}", f"entry={entry},{full}", f"common={before.split()[-1:] and before.split()[-1].lower() in COMMON},{start}", f"long={len(before) > _WIDEST},{end}{start}",
+    ]
+
+
+def _wrapped(text: str, width: int) -> list[str]:
+    lines = [""]
+    for w in text.split():
+        if lines[-1] and len(lines[-1]) + 1 + len(w) > width:
+            lines.append(w)
+        else:
+            lines[-1] = f"{lines[-1]} {w}".strip()
+    return lines
+
+
+def train_paragraphs(texts: list[str], seed: int = 9) -> np.ndarray:
+    """Weights of the line-pair classifier of paragraphs: paragraphs in one line each are wrapped at some width, so that
+    where they end is known; and lines of lists, headings and paragraphs in one line don't continue."""
+    rng = np.random.default_rng(seed)
+    rows, y = [], []
+    for text in texts:
+        lines = [s for s in map(str.strip, text.split("\n")) if s]
+        if any("|" in s or "\t" in s for s in lines):
+            continue
+        width = int(rng.integers(50, 100))
+        whole = [s for s in lines if len(s) > 1.5 * _WIDEST and s[-1] in ".!?:"]
+        entries = sum(_ENTRY.match(s) is not None for s in lines) > 0.5 * len(lines)
+        for s, t in zip(whole, [*whole[1:], ""]):
+            cut = _wrapped(s, width)
+            rows += [pair_features(p, q, width) for p, q in zip(cut, cut[1:])]
+            y += [1] * (len(cut) - 1)
+            if t:
+                rows.append(pair_features(cut[-1], _wrapped(t, width)[0], width))
+                y.append(0)
+        for p, q in zip(lines, lines[1:]):
+            if entries or len(p) > 1.5 * _WIDEST or len(p) < 60 and p[-1] not in ",;" and len(q) > 1.5 * _WIDEST:
+                rows.append(pair_features(p, q, 0 if rng.random() < 0.3 else width))
+                y.append(0)
+    return fit(_columns(rows), np.array(y, dtype=float)) if 0 < sum(y) < len(y) else np.zeros(BUCKETS)
+
+
+def repaired(chunks: DataFrame, pages: DataFrame, id_col: str = "chunk_id", text_col: str = "text", sample: int = SAMPLE, **options) -> DataFrame:
     """(id, text): continuous paragraphs without furniture, breaks joined and misread words put right."""
-    found = noise(chunks, pages, id_col, text_col, **options)
+    found = noise(chunks, pages, id_col, text_col, sample=sample, **options)
     fixes = found.groupBy(id_col).agg(F.collect_set(F.struct("kind", "token", "seen")).alias("fixes"))
     kind = chunks.schema[id_col].dataType.simpleString()
+    weights = chunks.sparkSession.sparkContext.broadcast(train_paragraphs(_some_texts(chunks.where(F.octet_length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sample)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [t if not t else repair(t, f or []) for t, f in zip(batch.column("text").to_pylist(), batch.column("fixes").to_pylist())]
+        out = [t if not t else repair(t, f or [], weights.value) for t, f in zip(batch.column("text").to_pylist(), batch.column("fixes").to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "text"])
 
     rows = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(fixes.withColumnRenamed(id_col, "id"), "id", "left")
     return map_batches(rows, run, f"id {kind}, text string").distinct().withColumnsRenamed({"id": id_col, "text": text_col})
 
 
+def _some_texts(texts: DataFrame, sample: int) -> list[str]:
+    some = bounded_sample(texts.select("id"), "id", sample)
+    return [r["text"] for r in texts.join(F.broadcast(some), "id", "left_semi").limit(2 * sample).collect()]
+
+
 _ENTRY = re.compile(r"\s*(?:[-*•]|\[ ?\]|\(?\w{1,4}[.)])\s")
 
 
-def repair(text: str, fixes: list[dict]) -> str:
-    """Apply the fixes of one text and join its wrapped lines; a line that starts an entry or ends a short one stays."""
+def repair(text: str, fixes: list[dict], paragraphs: np.ndarray) -> str:
+    """Apply the fixes of one text and join the lines that continue the one before by the weights of ``train_paragraphs``."""
     furniture = {f["seen"] for f in fixes if f["kind"] in ("header", "page_no")}
     whole = {f["seen"] for f in fixes if f["kind"] == "hyphen"}
     words = {f["seen"]: f["token"] for f in fixes if f["kind"] == "misread"}
@@ -571,19 +730,14 @@ def repair(text: str, fixes: list[dict]) -> str:
     width = short[len(short) * 3 // 4] if short else 0
     if any("|" in s or "\t" in s for s in lines):
         return "\n".join(lines).strip()  # columns stay as they are
-    out: list[str] = []
-    last = 0  # length of the line before
-    for s in lines:
-        runs_on = s[:1].islower() or s[:1].isdigit()
-        open_end = bool(out and out[-1]) and out[-1][-1] not in ".!?:"
-        full = width and last > 0.8 * width
-        if s and out and out[-1] and not _ENTRY.match(s) and (runs_on and open_end or full and (runs_on or open_end or last <= _WIDEST)):
+    pairs = [(p, q) for p, q in zip(lines, lines[1:]) if p and q]
+    goes_on = iter((paragraphs[_columns([pair_features(p, q, width) for p, q in pairs])].sum(axis=1) > 0).tolist() if pairs else [])
+    out = lines[:1]
+    for p, s in zip(lines, lines[1:]):
+        if p and s and next(goes_on):
             out[-1] += " " + s
         else:
             out.append(s)
-        last = len(s)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?<=\S) {2,}(?=\S)", " ", "\n".join(out))).strip()
 
 
-#: Characters of a line that may have been wrapped.
-_WIDEST = 120

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from corvane.llm import encoding, fmindex, leakage, shared_spans, splitting
+from corvane.llm import encoding, fmindex, leakage, scanned, shared_spans, splitting
 
 
 def naive_cuts(t, limit, floor, overlap):
@@ -146,3 +146,51 @@ def test_no_repeated_window_is_left_out(seed):
 def test_window_hashes_are_of_the_window_alone():
     a, b = shared_spans.code_points(["xyzabcdefgh"]), shared_spans.code_points(["abcdefgh"])
     assert (shared_spans.window_hashes(a, 5)[3:] == shared_spans.window_hashes(b, 5)).all()
+
+
+def test_paragraph_classifier_on_held_out_wraps():
+    rng = random.Random(3)
+    vocabulary = "the officer of watch must sign report before end day and clerk will keep it in file Station Board members record order reviewed".split()
+    paragraph = lambda: " ".join([w.capitalize() if not i or rng.random() < 0.1 else w for i, w in enumerate(rng.choices(vocabulary, k=rng.randint(35, 80)))]) + "."
+    lists = ["\n".join(f"({i}) {' '.join(rng.choices(vocabulary, k=4))}" for i in range(1, 9)) for _ in range(20)]
+    weights = scanned.train_paragraphs(["\n".join(paragraph() for _ in range(4)) for _ in range(60)] + lists)
+    right = n = 0
+    for _ in range(60):
+        whole, width = [paragraph() for _ in range(4)], rng.randint(55, 95)
+        wrapped = "\n".join(line for p in whole for line in scanned._wrapped(p, width))
+        got = scanned.repair(wrapped, [], weights).split("\n")
+        right, n = right + len(set(got) & set(whole)), n + 4
+    assert right >= 0.9 * n
+    assert scanned.repair(lists[0], [], weights) == lists[0]
+    assert scanned.repair("a\tb\nc\td", [], weights) == "a\tb\nc\td" and scanned.repair("", [], weights) == ""
+
+
+def test_candidates_meet_within_the_allowed_edits(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(6, 12))) for _ in range(150)})
+    bad = {}
+    for w in words:
+        for _ in range(2):
+            s = w
+            for _ in range(min(3, len(w) // 2)):
+                i = rng.randrange(len(s))
+                s = rng.choice([s[:i] + rng.choice("xyz19") + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "1" + s[i:]])
+            bad[s] = w
+    rows = [(w, 100) for w in words] + [(s, 1) for s in bad if s not in words]
+    counts = spark.createDataFrame(rows, "word string, n bigint")
+    spellings = spark.createDataFrame([(s,) for s in bad], "spelling string")
+    got = {(r.spelling, r.word) for r in scanned.candidates(spellings, counts).collect()}
+    limit = {r.s: r.e for r in spellings.select(F.col("spelling").alias("s"), scanned.allowed_edits(F.col("spelling")).alias("e")).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for x in a:
+            new = [row[0] + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    assert {(s, w) for s in bad for w in words if s != w and distance(s, w) <= limit[s]} == got
