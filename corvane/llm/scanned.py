@@ -650,6 +650,12 @@ def _wrapped(text: str, width: int) -> list[str]:
     return lines
 
 
+def _usual_width(lines: list[str]) -> int:
+    """The length that three in four lines that may be wrapped don't exceed; 0 without such lines."""
+    short = sorted(len(s) for s in lines if 0 < len(s) <= _WIDEST)
+    return short[len(short) * 3 // 4] if short else 0
+
+
 def train_paragraphs(texts: list[str], seed: int = 9) -> np.ndarray:
     """Weights of the line-pair classifier of paragraphs: paragraphs in one line each are wrapped at some width, so that
     where they end is known; and lines of lists, headings and paragraphs in one line don't continue."""
@@ -659,19 +665,20 @@ def train_paragraphs(texts: list[str], seed: int = 9) -> np.ndarray:
         lines = [s for s in map(str.strip, text.split("\n")) if s]
         if any("|" in s or "\t" in s for s in lines):
             continue
-        width = int(rng.integers(50, 100))
+        width = int(rng.integers(32, 115))
         whole = [s for s in lines if len(s) > 1.5 * _WIDEST and s[-1] in ".!?:"]
         entries = sum(_ENTRY.match(s) is not None for s in lines) > 0.5 * len(lines)
         for s, t in zip(whole, [*whole[1:], ""]):
             cut = _wrapped(s, width)
-            rows += [pair_features(p, q, width) for p, q in zip(cut, cut[1:])]
+            given = 0 if rng.random() < 0.3 else width
+            rows += [pair_features(p, q, given) for p, q in zip(cut, cut[1:])]
             y += [1] * (len(cut) - 1)
             if t:
-                rows.append(pair_features(cut[-1], _wrapped(t, width)[0], width))
+                rows.append(pair_features(cut[-1], _wrapped(t, width)[0], given))
                 y.append(0)
         for p, q in zip(lines, lines[1:]):
             if entries or len(p) > 1.5 * _WIDEST or len(p) < 60 and p[-1] not in ",;" and len(q) > 1.5 * _WIDEST:
-                rows.append(pair_features(p, q, 0 if rng.random() < 0.3 else width))
+                rows.append(pair_features(p, q, _usual_width(lines) if entries or rng.random() < 0.5 else width))
                 y.append(0)
     return fit(_columns(rows), np.array(y, dtype=float)) if 0 < sum(y) < len(y) else np.zeros(BUCKETS)
 
@@ -726,15 +733,13 @@ def repair(text: str, fixes: list[dict], paragraphs: np.ndarray) -> str:
     if words:
         text = re.sub(r"\S+", word, text)
     lines = [s.strip() for s in text.split("\n")]
-    short = sorted(len(s) for s in lines if 0 < len(s) <= _WIDEST)
-    width = short[len(short) * 3 // 4] if short else 0
-    if any("|" in s or "\t" in s for s in lines):
-        return "\n".join(lines).strip()  # columns stay as they are
-    pairs = [(p, q) for p, q in zip(lines, lines[1:]) if p and q]
+    width = _usual_width(lines)
+    apart = lambda s: not s or "|" in s or "\t" in s  # noqa: E731 - rows of columns stay as they are
+    pairs = [(p, q) for p, q in zip(lines, lines[1:]) if not apart(p) and not apart(q)]
     goes_on = iter((paragraphs[_columns([pair_features(p, q, width) for p, q in pairs])].sum(axis=1) > 0).tolist() if pairs else [])
     out = lines[:1]
     for p, s in zip(lines, lines[1:]):
-        if p and s and next(goes_on):
+        if not apart(p) and not apart(s) and next(goes_on):
             out[-1] += " " + s
         else:
             out.append(s)
