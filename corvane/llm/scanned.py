@@ -520,23 +520,31 @@ def allowed_edits(word) -> F.Column:
     return F.least(F.lit(3), F.floor(F.length(word) / 2).cast("int"))
 
 
+def _letters(word) -> F.Column:
+    """The characters that a word has, as bits; two words e edits apart differ in 2 e of them at most."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % 62)))
+
+
 def candidates(spellings: DataFrame, counts: DataFrame) -> DataFrame:
     """(spelling, n_spelling, word, n_word): known words within the allowed edits, frequent enough to be what is meant."""
     known = counts.where((F.col("n") >= LEAST) & (F.length("word") >= 4) & F.col("word").rlike(r"^\p{L}+(?:[-']\p{L}+)*$"))
-    posts = known.select("word", F.col("n").alias("n_word"), F.inline(_bigrams(F.col("word"))))
+    posts = known.select("word", F.col("n").alias("n_word"), _letters(F.col("word")).alias("has"), F.inline(_bigrams(F.col("word"))))
     often = posts.groupBy("gram").agg(F.count("*").alias("df"))
-    mine = spellings.join(counts.withColumnRenamed("word", "spelling"), "spelling").select("spelling", F.col("n").alias("n_spelling"), F.inline(_bigrams(F.col("spelling")))).join(often, "gram", "left")
+    mine = spellings.join(counts.withColumnRenamed("word", "spelling"), "spelling").select("spelling", F.col("n").alias("n_spelling"), _letters(F.col("spelling")).alias("had"), F.inline(_bigrams(F.col("spelling")))).join(often, "gram", "left")
     w = Window.partitionBy("spelling").orderBy(F.coalesce("df", F.lit(0)), "gram", "at")
     rare = mine.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 2 * allowed_edits(F.col("spelling")) + 1).where("df is not null")
     lettered = F.col("spelling").rlike(r"^\p{L}+$")
-    near = rare.withColumnRenamed("at", "here").join(posts, "gram").where(
-        (F.abs(F.col("at") - F.col("here")) <= allowed_edits(F.col("spelling")))
-        & (F.abs(F.length("word") - F.length("spelling")) <= allowed_edits(F.col("spelling")))
-        & (F.col("n_word") >= F.when(lettered, RARER * F.col("n_spelling")).otherwise(F.col("n_spelling")))
+    asked = rare.select("gram", "spelling", "n_spelling", "had", F.col("at").alias("here"), (F.length("spelling") - F.col("at")).alias("left"), allowed_edits(F.col("spelling")).alias("edits"), F.when(lettered, RARER * F.col("n_spelling")).otherwise(F.col("n_spelling")).alias("least"))
+    given = posts.select("gram", "word", "n_word", "has", "at", (F.length("word") - F.col("at")).alias("rest"))
+    # edits before the gram and behind it shift it by one place each at most
+    near = asked.join(given, "gram").where(
+        (F.abs(F.col("at") - F.col("here")) + F.abs(F.col("rest") - F.col("left")) <= F.col("edits"))
+        & (F.col("n_word") >= F.col("least"))
+        & (F.bit_count(F.col("had").bitwiseXOR(F.col("has"))) <= 2 * F.col("edits"))
         & (F.col("word") != F.col("spelling"))
-        & (F.levenshtein("spelling", "word", 3).between(0, allowed_edits(F.col("spelling"))))
     )
-    return near.select("spelling", "n_spelling", "word", "n_word").distinct()
+    pairs = near.select("spelling", "n_spelling", "word", "n_word", "edits").distinct()
+    return pairs.where(F.levenshtein("spelling", "word", 3).between(0, F.col("edits"))).drop("edits")
 
 
 def corrections(spellings: DataFrame, counts: DataFrame, ranking: Ranking) -> DataFrame:
