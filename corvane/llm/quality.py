@@ -7,7 +7,7 @@ over the numbers. The verdict combines rules:
 - junk: the larger part of the printed characters stands in tokens that can't be read as words, numbers or marks, or
   running text has so few common words (fewer still are needed where tokens are unreadable) that it is no language;
 - list: at least three lines, most of them short entries, and most of the characters stand in entries;
-- boilerplate: most lines or paragraphs repeat others of the text, or one n-gram covers most of its characters;
+- boilerplate: most lines or at least half of the paragraphs repeat others of the text, or one n-gram covers most of its characters;
 - prose: everything else.
 
 Null and blank texts get null statistics and a null verdict. Deliveries of one id that agree give one row.
@@ -34,11 +34,10 @@ COMMON = frozenset(
 )
 
 MEMO = 500_000
-#: Times that an n-gram must occur to count as repeated.
-OFTEN = 4
 
 _CONTENTS = re.compile(r"(?:\.{4,}|(?:\. ){4,}|…{2,})\s*\S{1,12}\s*$")
 _ROW = re.compile(r"[|\t].*[|\t]|\S {2,}\S.*\S {2,}\S|^[^,]+(?:,[^ ,][^,]*){2,}$|^-{2,}[-|+ ]*$")
+_CELLS = re.compile(r" {2,}|,(?! )|-{2,}")
 _BULLET = re.compile(r"\s*(?:[-*•·–▪○]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])\s+")
 _READABLE = re.compile(r"(?:[^\W\d_][^\W\d_A-Z]*(?:['’/-][^\W\d_]+)*|[A-Z]{1,12}(?:['’/-][A-Z]+)*|[A-Z][a-z]+[A-Z][a-z]+|[$€£#]?\d[\d.,:/-]*[a-z%]{0,2}|(?:[A-Z]{1,4}-?)?\d+[A-Za-z]?(?:[.-][A-Za-z0-9]{1,4})*|\d+(?:\.[A-Za-z0-9]{1,3})+)")
 _VOWEL = re.compile(r"[aeiouyáéíóúäëïöüàèìòùâêîôûãõåæøAEIOUYÁÉÍÓÚÄËÏÖÜÀÈÌÒÙÂÊÎÔÛÃÕÅÆØ]")
@@ -87,8 +86,10 @@ def _line_kind(line: str, memo: _Memo) -> str:
     if "|" in line or "\t" in line:
         if _ROW.search(line):
             return "row"
-    elif len(line) <= 200 and ("  " in line or "--" in line or line.count(",") - line.count(", ") > 1) and _ROW.search(line):
-        return "row"
+    elif ("  " in line or "--" in line or line.count(",") - line.count(", ") > 1) and _ROW.search(line):
+        cells = len(_CELLS.findall(line)) + 1
+        if len(line) <= 200 or len(line) <= 40 * cells:  # sentences parted by two blanks are longer
+            return "row"
     if (".." in line or ". ." in line or "…" in line) and _CONTENTS.search(line):
         return "row"
     if len(line) > 80:
@@ -107,17 +108,24 @@ def _line_kind(line: str, memo: _Memo) -> str:
 
 
 def _top_ngram(tokens: list[str], n_chars: int) -> float:
-    """The largest share of the characters that one 2-, 3- or 4-gram covers that occurs at least OFTEN times."""
-    pairs = list(zip(tokens, tokens[1:]))
-    counts = Counter(pairs)
-    if not pairs or max(counts.values()) < OFTEN:
-        return 0.0
-    best = max(c * (len(a) + len(b)) for (a, b), c in counts.items() if c >= OFTEN)
-    hot = [i for i, p in enumerate(pairs) if counts[p] >= OFTEN]
-    for n in (3, 4):
-        counts = Counter([tuple(tokens[i : i + n]) for i in hot if i + n <= len(tokens)])
-        best = max([best, *(c * sum(map(len, g)) for g, c in counts.items() if c >= OFTEN)])
-    return min(1.0, best / n_chars)
+    """The largest share of the characters that one n-gram of 2 to 4 tokens covers that occurs at least twice.
+
+    Each token counts once, however many occurrences overlap in it.
+    """
+    best, places = 0, range(len(tokens))
+    sizes = list(map(len, tokens))
+    for n in (2, 3, 4):
+        at: dict[tuple, list[int]] = {}
+        for i in places:
+            if i + n <= len(tokens):
+                at.setdefault(tuple(tokens[i : i + n]), []).append(i)
+        again = {g: p for g, p in at.items() if len(p) > 1}
+        for g, p in again.items():
+            size = sum(map(len, g))
+            if len(p) * size > best:  # overlaps can only lessen it
+                best = max(best, sum(sizes[k] for k in {i + j for i in p for j in range(n)}))
+        places = sorted(i for p in again.values() for i in p)  # a repeated n-gram starts with a repeated shorter one
+    return best / n_chars
 
 
 def statistics(text: str, memo: _Memo) -> tuple:
@@ -150,7 +158,7 @@ def verdict(s: tuple) -> str:
         return "junk"
     if is_list:
         return "list"
-    if lines >= 3 and (dup_lines > 0.5 or dup_paragraphs > 0.5) or top > 0.5:
+    if lines >= 3 and dup_lines > 0.5 or dup_paragraphs >= 0.5 or top > 0.5:
         return "boilerplate"
     return "prose"
 
@@ -182,6 +190,11 @@ def not_prose(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -
     return q.where(F.col("verdict").isin("list", "table", "junk")).select(id_col, F.col("verdict").alias("kind")).distinct()
 
 
+def repeating(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(id, dup_line_share, dup_paragraph_share, top_ngram_share) of the texts whose verdict is boilerplate."""
+    return quality(df, id_col, text_col).where("verdict = 'boilerplate'").select(id_col, "dup_line_share", "dup_paragraph_share", "top_ngram_share").distinct()
+
+
 def by_page(df: DataFrame, page_col: str = "page_start") -> DataFrame:
     """Statistics summed up by page; a null page is a group of its own."""
     q = quality(df, keep=(page_col,))

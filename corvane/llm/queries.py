@@ -27,6 +27,10 @@ def p2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "chunks"))
 
 
+def p2_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeating(table(spark, sf_dir, "chunks"))
+
+
 def p2_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.by_page(table(spark, sf_dir, "chunks"))
 
@@ -106,7 +110,7 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_by_page, p3_found, p3_shared, p3_intervals, p3_classes, p4_found, p4_forms, p4_classes, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
+        for f in (p1_found, p1_texts, p2_found, p2_stats, p2_boilerplate, p2_by_page, p3_found, p3_shared, p3_intervals, p3_classes, p4_found, p4_forms, p4_classes, p5_found, p5_pieces, p6_found, p6_rates, p7_ids, p7_text, p8_found, p8_spans, p9_found, p9_levels)
     }
 
 

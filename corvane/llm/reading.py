@@ -7,9 +7,12 @@ of hard words are told apart from both ends of the scale. Words unseen in traini
 their syllables. The level with the highest posterior likelihood, under a uniform prior, is assigned; its grade
 is the posterior mean of the levels' mean grades.
 
-Null and empty texts have no words and get a null level. Repeated rows give a row each. No text of another language
-is labelled, so such texts get a row with a null level; a text whose language isn't stated is scored if enough of
-its words were met in training.
+No text in Spanish or French is labelled, so their models are trained on ``sample`` texts at most that the reading ease
+formula of the language grades (Fernandez Huerta's, Kandel and Moles'), its ease read as a grade by Flesch's table. A
+text whose language isn't stated is scored by the language most of whose training words it has, if these are enough of
+its words. Texts in other languages get a row with a null level.
+
+Null and empty texts have no words and get a null level. Repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from corvane.llm.common import bounded_sample, map_batches
 LEVELS = (7.0, 11.0, 14.5, 18.0)
 #: Labelled documents that train the models.
 SAMPLE = 3000
-#: Characters of one document that are read in training.
+#: Spellings that a worker remembers at once.
 MEMO = 1_000_000
 #: How many unigrams a sentence's length class counts for.
 LENGTH_WEIGHT = 4
@@ -45,6 +48,12 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BANDS = {"plain": (float("-inf"), 7.0), "standard": (7.0, 18.0), "demanding": (18.0, float("inf"))}
 
 
+# By language, reading ease from 1, syllables per word and words per sentence.
+EASE = {"es": (206.84, -60.0, -1.02), "fr": (207.0, -73.6, -1.015)}
+# Reading ease and the school grade that it stands for.
+_EASE, _GRADE = (-40.0, 0.0, 30.0, 50.0, 60.0, 70.0, 80.0, 90.0, 120.0), (26.0, 20.0, 16.0, 12.0, 9.0, 7.0, 6.0, 5.0, 1.0)
+
+
 def syllables(word: str) -> int:
     n = len(_VOWELS.findall(word))
     if n > 1 and word.endswith("e") and not word.endswith(("le", "ee")):
@@ -110,14 +119,18 @@ def count(texts: list[str], spellings: Spellings) -> Counted:
     return Counted(numbers, begin, unigram, syl, is_word, lengths[full], owner[full])
 
 
-def grades(c: Counted) -> tuple[np.ndarray, np.ndarray]:
-    """Flesch-Kincaid grade and number of words of each text; nan without words."""
+def grades(c: Counted, lang: str = "en") -> tuple[np.ndarray, np.ndarray]:
+    """Grade by the formula of the language (Flesch-Kincaid for English) and number of words of each text; nan without words."""
     n = c.begin.size - 1
     owner = np.repeat(np.arange(n), np.diff(c.begin))
     words = np.bincount(owner[c.is_word], minlength=n)
     syl = np.bincount(owner, weights=c.syllables, minlength=n)
     sentences = np.bincount(c.sentence_text, minlength=n)
     with np.errstate(divide="ignore", invalid="ignore"):
+        if lang in EASE:
+            base, per_word, per_sentence = EASE[lang]
+            ease = base + per_word * syl / words + per_sentence * words / np.maximum(sentences, 1)
+            return np.where(words > 0, np.interp(ease, _EASE, _GRADE), np.nan), words
         return np.where(words > 0, 0.39 * words / np.maximum(sentences, 1) + 11.8 * syl / words - 15.59, np.nan), words
 
 
@@ -129,10 +142,10 @@ class Models:
     trained_on: list[int] = field(default_factory=list)
 
     @classmethod
-    def train(cls, texts: list[str], bands: list[str | None]) -> Models:
+    def train(cls, texts: list[str], bands: list[str | None], lang: str = "en") -> Models:
         spellings = Spellings(None)
         c = count(texts, spellings)
-        grade, words = grades(c)
+        grade, words = grades(c, lang)
         low, high = (np.array([BANDS.get(b, BANDS["standard"])[k] if b in BANDS else (-np.inf, np.inf)[k] for b in bands]) for k in (0, 1))
         use = (words > 0) & (grade > low) & (grade <= high)
         level = np.searchsorted(LEVELS, grade)
@@ -174,34 +187,43 @@ class Models:
 
 
 def train_models(docs: DataFrame, labels: DataFrame, lang: str = "en", sample: int = SAMPLE) -> Models:
-    """``sample`` labelled documents at most are fetched, chosen by the hash of their id."""
-    chosen = bounded_sample(labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.when(F.count_distinct("band") == 1, F.max("band")).alias("band")), "doc_id", sample)
-    texts = docs.where((F.col("lang") == lang) & F.col("text").isNotNull()).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(sample).collect()
-    return Models.train([r["text"] for r in rows], [r["band"] for r in rows])
+    """``sample`` labelled documents at most are fetched, in a language without labels as many of its documents, chosen by the hash of their id."""
+    texts = docs.where((F.col("lang") == lang) & (F.octet_length("text") > 0)).select("doc_id", "text")
+    if lang in EASE:
+        chosen = bounded_sample(texts.select("doc_id"), "doc_id", sample).withColumn("band", F.lit(None).cast("string"))
+    else:
+        chosen = bounded_sample(labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.when(F.count_distinct("band") == 1, F.max("band")).alias("band")), "doc_id", sample)
+    rows = texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").orderBy("doc_id").limit(sample).collect()
+    return Models.train([r["text"] for r in rows], [r["band"] for r in rows], lang)
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, lang: str = "en", sample: int = SAMPLE, everything: bool = False) -> DataFrame:
     """Rows (doc_id, words, level, grade, band) of every document in ``lang``, or of every document at all.
 
     band is plain for the lowest level, demanding for the highest, else standard; null without words and for
-    texts in other languages.
+    texts in languages that no model is for.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train_models(docs, labels, lang, sample))
+    shared = docs.sparkSession.sparkContext.broadcast({k: train_models(docs, labels, k, sample) for k in ([lang, *(k for k in EASE if k != lang)] if everything else [lang])})
     kind = docs.schema["doc_id"].dataType.simpleString()
     state: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        models = shared.value
-        spellings = state.setdefault("spellings", Spellings(models.vocabulary))
-        c = count(batch.column(1).to_pylist(), spellings)
-        level, grade = models.score(c)
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(c.begin))[c.is_word]
-        words = np.bincount(owner, minlength=batch.num_rows)
-        known = np.bincount(owner[c.unigram[c.is_word] < len(models.vocabulary)], minlength=batch.num_rows)
-        given = batch.column(2).to_pylist()
-        scored = np.array([x == lang for x in given], dtype=bool) | np.array([x is None for x in given], dtype=bool) & (known >= KNOWN * words)
-        level = np.where(scored, level, -1)
+        texts, given, n = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.num_rows
+        words, level, grade, known = np.zeros(n, dtype=np.int64), np.full(n, -1), np.full(n, np.nan), np.full(n, KNOWN)
+        for k, models in shared.value.items():
+            spellings = state.setdefault(k, Spellings(models.vocabulary))
+            mine = np.array([i for i, x in enumerate(given) if x is None or x == k or x not in shared.value and k == lang], dtype=np.int64)
+            c = count([texts[i] for i in mine], spellings)
+            found, graded = models.score(c)
+            owner = np.repeat(np.arange(mine.size), np.diff(c.begin))[c.is_word]
+            of = np.bincount(owner, minlength=mine.size)
+            met = np.bincount(owner[c.unigram[c.is_word] < len(models.vocabulary)], minlength=mine.size) / np.maximum(of, 1)
+            stated = np.array([given[i] == k for i in mine], dtype=bool)
+            unstated = np.array([given[i] is None for i in mine], dtype=bool)
+            take = stated | unstated & (met >= known[mine])
+            known[mine[unstated & take]] = np.nextafter(met[unstated & take], 2)
+            words[mine] = np.maximum(words[mine], of)
+            level[mine[take]], grade[mine[take]] = found[take], graded[take]
         none = level < 0
         top = len(LEVELS)
         band = [None if x < 0 else "plain" if x == 0 else "demanding" if x == top else "standard" for x in level.tolist()]

@@ -1,7 +1,7 @@
 """Problem 6: values cut off by a field limit or in transfer, scored by hashed logistic regression.
 
-The limit of a source is its greatest length, provided that the lengths pile up there; a source without such a
-pile has none. Positives are made: values that look whole are cut at a limit or somewhere else, with and without a
+The limit of a source is the greatest length at which its values pile up, if hardly any is longer; a source without such
+a pile has none. Positives are made: values that look whole are cut at a limit or somewhere else, with and without a
 mark. The features are hashed: closing characters, closing words, punctuation and blanks at the end, open brackets,
 the distance to the limit, and whether the last word only ever begins a longer word. The training rows are a
 sample of at most ``sample`` distinct values, chosen by hash. As the sample holds cut values too, the model is fitted
@@ -29,6 +29,8 @@ SAMPLE = 20_000
 BUCKETS = 1 << 16
 #: A greatest length is a limit if it is this many times as frequent as the mean of the NEAR lengths below it.
 PILE, NEAR, LEAST = 3.0, 8, 5
+#: Values over a limit, as a part of those at it, that may be there all the same.
+BEYOND = 0.05
 
 _WORDS = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
 _MARKS = ("…", "...", "..", " …", " ...", "-")
@@ -150,11 +152,17 @@ class Model:
 
 
 def source_limits(values: DataFrame) -> DataFrame:
-    """(source, field_limit) of every source; null where no lengths pile up at the greatest."""
+    """(source, field_limit) of every source; null where no lengths pile up that hardly any value exceeds.
+
+    A limit is the greatest length that piles up against the NEAR lengths below it, provided that the values over it
+    are at most BEYOND of those at it, such as came in by another way.
+    """
     by_length = values.groupBy("source", F.char_length("value").alias("n")).agg(F.count("*").alias("c"))
-    ranked = by_length.withColumn("top", F.max("n").over(Window.partitionBy("source")))
-    per = ranked.groupBy("source").agg(F.max("top").alias("top"), F.sum(F.when(F.col("n") == F.col("top"), F.col("c"))).alias("at"), F.coalesce(F.sum(F.when((F.col("n") < F.col("top")) & (F.col("n") >= F.col("top") - NEAR), F.col("c"))), F.lit(0)).alias("below"))
-    return per.select("source", F.when((F.col("at") >= LEAST) & (F.col("at") * NEAR >= PILE * F.col("below")), F.col("top")).alias("field_limit"))
+    of_source = Window.partitionBy("source").orderBy("n")  # a row for each length
+    near, over = of_source.rangeBetween(-NEAR, -1), of_source.rangeBetween(1, Window.unboundedFollowing)
+    ranked = by_length.withColumns({"below": F.coalesce(F.sum("c").over(near), F.lit(0)), "beyond": F.coalesce(F.sum("c").over(over), F.lit(0))})
+    piles = (F.col("c") >= LEAST) & (F.col("c") * NEAR >= PILE * F.col("below")) & (F.col("beyond") <= BEYOND * F.col("c"))
+    return ranked.groupBy("source").agg(F.max(F.when(piles, F.col("n"))).alias("field_limit"))
 
 
 def scored(df: DataFrame, id_col: str = "chunk_id", value_col: str = "section_title", source_col: str = "source", sample: int = SAMPLE) -> DataFrame:
