@@ -32,8 +32,9 @@ def aggregate(hits: DataFrame, style: str = "b") -> DataFrame:
     seen = Window.partitionBy("query_id", "key", "content_hash").orderBy(F.coalesce("chunk_index", F.lit(0)), "rank")
     rows = hits.withColumn("key", group_key(style))
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("again", (F.row_number().over(seen) > 1) & (F.coalesce("content_hash", F.lit("")) != ""))
-    block = clean_text(F.col("text"), ARTIFACT_A if style == "a" else ARTIFACT_B)
-    rows = rows.withColumn("block", F.when(~F.col("again"), F.coalesce(block, F.lit(""))))
+    block = F.coalesce(clean_text(F.col("text"), ARTIFACT_A if style == "a" else ARTIFACT_B), F.lit(""))
+    cleaned = hits.select("chunk_id", "text").dropDuplicates(["chunk_id"]).select("chunk_id", block.alias("cleaned"))  # many questions hit the same chunk
+    rows = rows.join(cleaned, "chunk_id").withColumn("block", F.when(~F.col("again"), F.col("cleaned")))
     first = lambda c: F.min_by(c, "n").alias(c)
     parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("block") != "", F.struct("n", "block")))), lambda s: s["block"])
     out = rows.groupBy("query_id", "key").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import bm25, chunking, dense, evaluation, passages, prompts, retrieval, segment
 from corvane.plans import sql as Q
-from corvane.plans.pipeline import ingest_chapters
+from corvane.plans.pipeline import Engine, ingest_chapters
 from corvane.schema import once, table
+from corvane.sources import files
+from corvane.storage import shared_folder
 
 K = 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +237,30 @@ def s6_source_counts(spark, d):
     return table(spark, d, "chunks").select("chunk_id", "source").distinct().groupBy("source").agg(F.count("*").alias("n_chunks"))
 
 
+_KEPT = ("chunk_id", "source", "doc_path", "article_number", "section_number", "section_title", "chapter_number", "page_start", "chunk_index", "token_estimate", "text")
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
+
+
+@query(_with(Q.CHUNKS) + f"SELECT {', '.join(_KEPT)}, array_to_string(heading_path, '|') AS path FROM ch")
+def s6_s7_k1_chunk_files(spark, d):
+    """Chunks written as JSON lines and read back."""
+    path = _place(spark)
+    files.write_chunks(_chunks(spark, d).drop("ingested_at"), path)
+    return files.read_chunks(spark, path).select(*_KEPT, F.array_join("heading_path", "|").alias("path"))
+
+
+@query(_with(Q.CHUNKS, Q.bm25()) + "SELECT term, df, round(idf, 9) AS idf, (SELECT count(*) FROM ch) AS n_vectors FROM ti")
+def s8_s9_k2_k3_saved_index(spark, d):
+    """The term weights and the vectors of an index that was saved and loaded."""
+    path = _place(spark)
+    Engine.build(table(spark, d, "chunks")).save(path)
+    engine = Engine.load(spark, path)
+    return engine.index.term_idf.select("term", "df", F.round("idf", 9).alias("idf")).crossJoin(engine.vectors.agg(F.count("*").alias("n_vectors")))  # one row
+
+
 @query(_with(Q.PAGES) + "SELECT doc, min(page_num) AS first_page, max(page_num) AS last_page FROM (SELECT *, min(CASE WHEN page_num > first_page + 10 AND regexp_matches(text, 'IV-99\\d') THEN page_num END) OVER (PARTITION BY doc) AS stop FROM (SELECT *, min(CASE WHEN contains(text, 'Article') AND contains(text, 'the') THEN page_num END) OVER (PARTITION BY doc) AS first_page FROM pg) WHERE page_num >= first_page) WHERE (stop IS NULL OR page_num < stop) AND (page_num = first_page OR regexp_matches(text, 'Article')) GROUP BY doc")
 def s3_page_range(spark, d):
     r = segment.detect_range(_pages(spark, d), ("Article", "the"), "Article", r"IV-99\d", lo=1, hi=1 << 30)
@@ -581,6 +608,25 @@ def p_prompt_formats(spark, d):
     return rows.select("model", prompts.prompt_format(F.col("model")).alias("kind"))
 
 
+_KINDS = ("mistral", "phi3", "chatml", "raw")
+
+
+def _wrap_sql() -> str:
+    system, lf = Q.quote(prompts.SYSTEM), "chr(10)"
+    user = f"'Passages:' || {lf} || gold.notes || {lf} || {lf} || 'Question: ' || query"
+    return f"""SELECT id AS query_id, kind, CASE kind WHEN 'mistral' THEN '<s>[INST] ' || {system} || {lf} || {lf} || {user} || ' [/INST]'
+WHEN 'phi3' THEN '<|system|>' || {lf} || {system} || '<|end|>' || {lf} || '<|user|>' || {lf} || {user} || '<|end|>' || {lf} || '<|assistant|>' || {lf}
+WHEN 'chatml' THEN '<|im_start|>system' || {lf} || {system} || '<|im_end|>' || {lf} || '<|im_start|>user' || {lf} || {user} || '<|im_end|>' || {lf} || '<|im_start|>assistant' || {lf}
+ELSE {system} || {lf} || {lf} || {user} END AS prompt FROM bench_questions, (SELECT unnest([{', '.join(map(Q.quote, _KINDS))}]) AS kind)"""
+
+
+@query(_wrap_sql())
+def p_prompt_wrapping(spark, d):
+    """Each question with its notes as the passage, in all four formats."""
+    rows = _questions(spark, d).select("query_id", prompts.user_prompt(F.col("query"), F.col("gold.notes")).alias("user"), F.explode(F.array(*map(F.lit, _KINDS))).alias("kind"))
+    return rows.select("query_id", "kind", prompts.wrap(F.col("kind"), F.lit(prompts.SYSTEM), F.col("user")).alias("prompt"))
+
+
 @query(None)
 def p_guarded_answers(spark, d):
     """Prompts for every question, answered by the fallback, as no model is plugged in."""
@@ -620,6 +666,15 @@ def e3_e4_e5_metrics(spark, d):
     return m.select("num_queries", *[F.round(c, 9).alias(c) for c in m.columns if c != "num_queries"])
 
 
+@query(_with(Q.CHUNKS, Q.bm25(), _DETAIL, f"m AS ({_METRICS})") + "SELECT num_queries, round(mrr, 9) AS mrr, " + ", ".join(f"round(recall_at_{k}, 9) AS recall_at_{k}, round(precision_at_{k}, 9) AS precision_at_{k}" for k in evaluation.KS) + ", false AS reranked FROM m")
+def s11_k4_saved_run(spark, d):
+    """The metrics of a run that was saved and loaded."""
+    path = _place(spark)
+    files.write_run(evaluation.metrics(_detail(spark, d)), path)
+    run = files.read_run(spark, path)
+    return run.select("num_queries", F.round("mrr", 9).alias("mrr"), *[F.round(f"{m}_at_{k}", 9).alias(f"{m}_at_{k}") for k in evaluation.KS for m in ("recall", "precision")], "reranked")
+
+
 @query(_with(Q.CHUNKS, Q.bm25(), _DETAIL) + "SELECT query_id, query, top5, round(top_score, 6) AS top_score FROM per JOIN bench_questions ON id = query_id WHERE rr = 0")
 def e6_misses(spark, d):
     return evaluation.misses(_detail(spark, d), _questions(spark, d)).withColumn("top_score", F.round("top_score", 6))

@@ -13,9 +13,9 @@ from corvane.schema import BENCHMARK, CHUNK, PAGE
 _RUN_NAMES = {"MRR": "mrr"} | {f"{m}@{k}": f"{m.lower()}_at_{k}" for m in ("Recall", "Precision", "F1") for k in (1, 3, 5, 8)}
 
 
-def read_chunks(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
-    """Chunk records from JSON lines; keys that are missing are null, blank lines are skipped. ``strict`` fails on broken ones."""
-    return spark.read.schema(CHUNK).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(paths)
+def read_chunks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Chunk records from JSON lines; keys that are missing are null, blank lines are skipped, and a broken line fails the read."""
+    return spark.read.schema(CHUNK).option("mode", "FAILFAST").json(paths)
 
 
 def source_counts(chunks: DataFrame) -> DataFrame:
@@ -58,25 +58,26 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
 def read_pages(spark: SparkSession, path: str, parsers: list[Callable[[bytes], list[str]]], first: int = 1, last: int | None = None) -> DataFrame:
     """(doc, chapter, page_num, text, is_exhibit) of binary files; pages count from 1, first and last are inclusive.
 
-    The parsers are tried in order, a later one where those before raised; a file that none can read gives no rows.
+    The parsers are tried in order, a later one where those before raised; a file that none can read gives one row
+    with a null page_num and a null text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, numbers, texts = [], [], []
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                pages: list[str] = []
+                pages: list[str] | None = None
                 for parse in parsers:
                     try:
                         pages = parse(content)
                         break
                     except Exception:  # noqa: BLE001 - the next parser may read it
                         continue
-                for n, text in enumerate(pages[: last or len(pages)], 1):
-                    if n >= first:
-                        docs.append(name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
-                        numbers.append(n)
-                        texts.append(text)
+                numbered = [(None, None)] if pages is None else [(n, text) for n, text in enumerate(pages[: last or len(pages)], 1) if n >= first]
+                for n, text in numbered:
+                    docs.append(name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+                    numbers.append(n)
+                    texts.append(text)
             cols = [pa.array(docs, pa.string()), pa.nulls(len(docs), pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.nulls(len(docs), pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "chapter", "page_num", "text", "is_exhibit"])
 

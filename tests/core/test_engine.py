@@ -306,10 +306,10 @@ def test_files(spark, tmp_path):
     assert {r.chunk_id: (r.text, r.page_start) for r in c.collect()} == {"a": ("é", 3), "b": (None, None)}
     assert {r.source: r.n_chunks for r in files.source_counts(c).collect()} == {"s": 1, None: 1}
     files.write_chunks(c, str(tmp_path / "out"))
-    assert files.read_chunks(spark, str(tmp_path / "out"), strict=True).count() == 2
+    assert files.read_chunks(spark, str(tmp_path / "out")).count() == 2
     (tmp_path / "bad.jsonl").write_text("{oops\n")
     with pytest.raises(Exception):  # noqa: B017, PT011
-        files.read_chunks(spark, str(tmp_path / "bad.jsonl"), strict=True).collect()
+        files.read_chunks(spark, str(tmp_path / "bad.jsonl")).collect()
     (tmp_path / "b.json").write_text(json.dumps({"metadata": {"total_questions": 3}, "questions": [{"id": "q1", "query": "x", "gold": {"article_numbers": ["92"]}}]}, indent=1))
     q = files.read_benchmark(spark, str(tmp_path / "b.json")).first()
     assert (q.id, q.declared, q.actual, q.gold.article_numbers) == ("q1", 3, 1, ["92"])
@@ -325,6 +325,20 @@ def test_files(spark, tmp_path):
 
     p = files.read_pages(spark, str(tmp_path / "d.bin"), [fails, lambda b: b.decode().split("|")], first=2)
     assert [(r.doc, r.page_num, r.text) for r in p.collect()] == [("d", 2, "two"), ("d", 3, "three")]
+    assert [(r.doc, r.page_num, r.text) for r in files.read_pages(spark, str(tmp_path / "d.bin"), [fails]).collect()] == [("d", None, None)]
+
+
+def test_hyphens_join_like_the_consuming_pattern(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "b1", "-\n", "-\n ", "-", "\n", " ", "é_"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    want = [re.sub(r"(\w+)-\n\s*(\w+)", r"\1\2", t) for t in texts]
+    assert [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.join_hyphens(F.col("t")).alias("x")).collect()] == want
+
+
+def test_no_partition_number_is_fixed(spark):
+    queries = spark.createDataFrame([("q", "order")], "query_id string, query string")
+    df = bm25.search(spark.createDataFrame(DOCS, "chunk_id string, text string"), queries, 2)
+    assert "REPARTITION_BY_NUM" not in df._jdf.queryExecution().toString()
 
 
 def test_registry():
