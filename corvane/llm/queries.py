@@ -142,7 +142,7 @@ def _p4_classes_sql() -> str:
 SELECT f.chunk_id, f.form AS class_id, count(*) AS n_alike FROM f JOIN f g ON f.form = g.form AND f.text <> g.text GROUP BY ALL"""
 
 
-def _p5_sql() -> str:
+def _p5_sql(pieces: bool = False) -> str:
     """The cuts one after the other, by recursion; a greedy pattern finds the last boundary of a piece."""
     seg = "substr(text, s + 1, 2400)"
     last = lambda p: f"length(regexp_extract({seg}, '^[\\s\\S]*{p}'))"
@@ -156,7 +156,7 @@ def _p5_sql() -> str:
   UNION ALL
   SELECT chunk_id, text, n, piece_no, s, {end} AS e FROM (SELECT chunk_id, text, n, piece_no + 1 AS piece_no, e - 320 AS s FROM cut WHERE e < n)
 )
-SELECT chunk_id, piece_no, s AS start_pos, e AS end_pos FROM cut"""
+SELECT {"DISTINCT chunk_id, section_number" if pieces else "chunk_id"}, piece_no, s AS start_pos, e AS end_pos{", substr(text, s + 1, e - s) AS piece_text FROM cut JOIN (SELECT DISTINCT chunk_id, section_number FROM chunks) USING (chunk_id)" if pieces else " FROM cut"}"""
 
 
 #: Every window of 300 characters by a hash of DuckDB's, and those that two texts have.
@@ -180,4 +180,4 @@ FROM c JOIN (SELECT text, sum(end_pos - start_pos)::BIGINT AS shared_chars FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return _p3_sql() | {"p4_found": _p4_sql(), "p4_classes": _p4_classes_sql(), "p5_found": _p5_sql(), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return _p3_sql() | {"p4_found": _p4_sql(), "p4_classes": _p4_classes_sql(), "p4_forms": f"SELECT DISTINCT chunk_id, CASE WHEN text <> '' THEN {_form_sql()} ELSE text END AS form FROM chunks", "p5_found": _p5_sql(), "p5_pieces": _p5_sql(True), "p7_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
