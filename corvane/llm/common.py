@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.storage import shared_folder, written
+from corvane.storage import written
 
-__all__ = ["blocks", "bounded_sample", "cut_lineage", "map_batches", "table", "written"]
+__all__ = ["blocks", "bounded_sample", "map_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +45,3 @@ def blocks(items: list[int], limit: int) -> Iterator[tuple[int, int]]:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, chosen by the hash of their key, so the choice doesn't depend on partitioning."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()

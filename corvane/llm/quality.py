@@ -16,7 +16,6 @@ Null and blank texts get null statistics and a null verdict. Deliveries of one i
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
