@@ -48,8 +48,12 @@ class Index:
 
 
 def documents(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, terms), each id once; texts are cut into terms before they are shuffled. A null text has no terms."""
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms")).dropDuplicates(["chunk_id"])
+    """(chunk_id, terms), each id once; texts are cut into terms before they are shuffled. A null text has no terms.
+
+    Terms have no spaces, so they are shuffled as one string, which takes a third of the array's room.
+    """
+    docs = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(F.array_join(tokens(F.col(text_col)), " "), F.lit("")).alias("terms")).dropDuplicates(["chunk_id"])
+    return docs.select("chunk_id", F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " ")).alias("terms"))
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
@@ -102,6 +106,23 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     return per_term.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score")).where("score > 0")
 
 
+def search_index(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the k best chunks of each query, from the index tables.
+
+    The postings of the queries' terms are gathered by chunk and blocks of chunks are scored against all queries as in
+    ``search``, so no row is made for each query and chunk that share a term.
+    """
+    found = None
+    for part in in_blocks(queries, "query_id", QUERY_BLOCK):
+        terms = query_terms(part)
+        rows = terms.join(index.term_idf, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "qtf", "idf", "avgdl").orderBy("query_id", "term").collect()
+        wanted = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        by_chunk = wanted.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("hits")).join(index.doc_len, "chunk_id")
+        hits = _best(by_chunk.select("chunk_id", F.col("hits.term").alias("terms"), F.col("hits.tf").alias("tf"), "len"), queries, rows, rows[0]["avgdl"] if rows else 1.0, k)
+        found = hits if found is None else found.unionByName(hits)
+    return top_k(found, k)
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best of each query with their rank from 1; ties go to the smaller id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
@@ -120,19 +141,27 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     n, avgdl = counts.where("term = ''").select("df", F.col("len") / F.col("df")).first() or (0, None)
     stats = queries.sparkSession.createDataFrame([(n,)], "n bigint")
     idf = weights_of(counts.where("term <> ''").select("term", "df"), stats)
-    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "chunk_id"))]
     found = None
     for part in in_blocks(queries, "query_id", QUERY_BLOCK):
         rows = query_terms(part).join(idf, "term").select("query_id", "term", "qtf", "idf").orderBy("query_id", "term").collect()
-        for shared in _matrices(rows, queries, avgdl or 1.0):
+        hits = _best(docs, queries, rows, avgdl or 1.0, k)
+        found = hits if found is None else found.unionByName(hits)
+    return top_k(found, k)
 
-            def run(batches, shared=shared, k=k):
-                for batch in batches:
-                    yield from _score_batch(batch, *shared.value, k)
 
-            hits = docs.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-            found = hits if found is None else found.unionByName(hits)
-    return top_k(found, k)
+def _best(docs: DataFrame, queries: DataFrame, rows: list, avgdl: float, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) of each block's best k of each query; rows: (query_id, term, qtf, idf)."""
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "chunk_id"))]
+    found = None
+    for shared in _matrices(rows, queries, avgdl):
+
+        def run(batches, shared=shared, k=k):
+            for batch in batches:
+                yield from _score_batch(batch, *shared.value, k)
+
+        hits = docs.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def _matrices(rows: list, queries: DataFrame, avgdl: float):
@@ -157,6 +186,7 @@ def _matrices(rows: list, queries: DataFrame, avgdl: float):
 
 
 def _score_batch(batch: pa.RecordBatch, ids: pa.Array, number: dict[str, int], matrix: np.ndarray, avgdl: float, k: int):
+    """batch: (chunk_id, terms) or, each term once, (chunk_id, terms, tf, len)."""
     width = len(number)
     if not width:
         return
@@ -166,14 +196,16 @@ def _score_batch(batch: pa.RecordBatch, ids: pa.Array, number: dict[str, int], m
     term = of[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(terms.offsets.to_numpy())
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    norm = K1 * (1 - B + B * sizes / avgdl)
+    counted = "tf" in batch.schema.names
+    count = batch.column("tf").flatten().to_numpy() if counted else np.ones(len(term), dtype=np.int32)
+    norm = K1 * (1 - B + B * (batch.column("len").to_numpy() if counted else sizes) / avgdl)
     step = max(1, MATRIX_BYTES // (8 * width))
     for a in range(0, batch.num_rows, step):
         b = min(batch.num_rows, a + step)
         mine = term[begin[a] : begin[b]]
         row = np.repeat(np.arange(b - a), sizes[a:b])
         hit = mine >= 0
-        tf = np.bincount(row[hit] * width + mine[hit], minlength=(b - a) * width).reshape(b - a, width).astype(np.float64)
+        tf = np.bincount(row[hit] * width + mine[hit], weights=count[begin[a] : begin[b]][hit], minlength=(b - a) * width).reshape(b - a, width)
         scores = np.round((tf / (tf + norm[a:b, None])) @ matrix, 6).T if len(ids) else np.zeros((0, b - a))
         if b - a > k:
             cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1]

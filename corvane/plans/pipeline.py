@@ -65,7 +65,7 @@ class Engine:
 
         article: 'auto' takes the article that a query names, None filters nothing, else it is the article. mode:
         'hybrid' or 'dense'; without a keyword index hybrid is dense. scan: score the texts against all queries in one
-        pass instead of joining the index, which is for few queries.
+        pass instead of the postings of the queries' terms.
         """
         pool = retrieval.pool_size(k)
         near = dense.search(self.vectors, dense.embed(queries, "query_id", F.col("query")), pool)
@@ -76,7 +76,7 @@ class Engine:
         label, ranked = "dense", near.select("query_id", "chunk_id", F.col("score").alias("rrf_score"), "score", "rank")
         if mode == "hybrid" and self.index is not None:
             expanded = queries.select("query_id", retrieval.expand(F.col("query")).alias("query"))
-            keyword = bm25.search(self.chunks, expanded, pool) if scan else bm25.top_k(bm25.scores(self.index, expanded), pool)
+            keyword = bm25.search(self.chunks, expanded, pool) if scan else bm25.search_index(self.index, expanded, pool)
             keyword = retrieval.inject(keyword, articles, queries.select("query_id", F.when(named != "", named).alias("target")), injection)
             label, ranked = "hybrid", retrieval.fuse(near, keyword).select("query_id", "chunk_id", "rrf_score", "score", "rank")
         return retrieval.filtered(ranked, articles, targets, k, label=label).join(self.chunks, "chunk_id")

@@ -463,7 +463,7 @@ def r3_dense_topk(spark, d):
 def r4_index_scoring(spark, d):
     """The same ranking from the index tables, as a stored index is searched."""
     q = _questions(spark, d).select("query_id", "query")
-    return bm25.top_k(bm25.scores(bm25.build(table(spark, d, "chunks")), q), K)
+    return bm25.search_index(bm25.build(table(spark, d, "chunks")), q, K)
 
 
 @query(_with(Q.CHUNKS, Q.bm25(Q.expand("query"), 200)) + "SELECT * FROM bm25")

@@ -97,6 +97,56 @@ def test_bm25(spark, tmp_path):
     assert not bm25.search(chunks.limit(0), queries, 2).collect()
 
 
+def shuffled_records(spark, run):
+    """What ``run`` returns, and the records that were written to shuffles meanwhile."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    got = run()
+    return got, sum(n for i, n in stages().items() if i not in before)
+
+
+def test_index_scoring_makes_no_row_for_each_query_and_chunk(spark, tmp_path):
+    from corvane.plans.queries import r4_index_scoring
+
+    rng = random.Random(5)
+    words = ["order", "watch", "lawful", "cutter", "station", "officer", "known", "slept"]
+    docs = [(f"d{i:03}", " ".join(w for w in words for _ in range(rng.choice((0, 0, 0, 1, 2))))) for i in range(400)]
+    asked = [(f"q{i:02}", " ".join(rng.choices(words, k=6))) for i in range(60)]
+    spark.createDataFrame(docs, "chunk_id string, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame(asked, "id string, query string").write.parquet(str(tmp_path / "bench_questions.parquet"))
+    got, records = shuffled_records(spark, lambda: r4_index_scoring(spark, str(tmp_path)).collect())
+    want, pairs = [], 0
+    for q, text in asked:
+        scored = sorted((-s, k) for k, s in plain_bm25(docs, text).items() if s > 0)
+        pairs += len(scored)
+        want += [(q, k, -s, i) for i, (s, k) in enumerate(scored[:8], 1)]
+    assert sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in got) == sorted(want)
+    assert records < pairs / 2
+
+
+def test_index_search_in_blocks(spark, tmp_path, monkeypatch):
+    """Few queries and few terms at once, a repeated and a null id, a null query: as all at once, and as every pair listed."""
+    chunks = spark.createDataFrame([*DOCS, DOCS[0], (None, "the lawful watch"), ("d6", "it's a self-test - of the 'watch'")], "chunk_id string, text string")
+    asked = [("q1", "lawful order order"), ("q1", "watch"), (None, "self-test of it's order"), ("q3", "the watch"), ("q4", "zzz"), ("q5", None), ("q6", "day of the slept")]
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    bm25.build(chunks).write(str(tmp_path / "i"))
+    index = bm25.Index.read(spark, str(tmp_path / "i"))
+    rows = lambda df: sorted(df.select("query_id", "chunk_id", "score", "rank").collect(), key=str)
+    want = rows(bm25.top_k(bm25.scores(index, queries), 2))
+    assert {r.query_id for r in want} == {"q1", None, "q3", "q6"}
+    assert rows(bm25.search_index(index, queries, 2)) == rows(bm25.search_index(bm25.build(chunks), queries, 2)) == want
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(bm25, "MATRIX_BYTES", 30)
+    assert rows(bm25.search_index(index, queries, 2)) == want
+    assert not bm25.search_index(index, queries.limit(0), 2).collect() and not bm25.search_index(bm25.build(chunks.limit(0)), queries, 2).collect()
+
+
 def test_dense(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(60)]
